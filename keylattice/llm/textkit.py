@@ -29,6 +29,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63 - 1, 256, dtype=np.uin
 _P = U64(0x9E3779B97F4A7C15)
 _Q = U64(0xD6E8FEB86659FD93)
 _Q_INV = U64(pow(int(_Q), -1, 1 << 64))
+_P_INV = U64(pow(int(_P), -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -146,3 +147,38 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+@dataclass
+class Runs:
+    """Maximal runs of letters and digits, or of other visible characters, in a batch of texts."""
+
+    hashes: np.ndarray
+    first: np.ndarray  # index of each text's first run, and the total at the end
+    starts: np.ndarray
+    ends: np.ndarray
+    data: np.ndarray
+
+
+_KIND = _WORD.astype(np.uint8)
+_KIND[33:128] = np.where(_WORD[33:128], 1, 2)
+
+
+def runs(texts: pa.Array) -> Runs:
+    """Runs of one kind of character, with case kept; white space and control characters separate."""
+    data, off = utf8(texts, lower=False)
+    n = len(data)
+    kind = _KIND[data]
+    begin = np.zeros(n, bool)
+    if n:
+        begin[0] = True
+        begin[1:] = kind[1:] != kind[:-1]
+        begin[off[:-1][off[:-1] < n]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], n) if len(starts) else starts
+    seen = kind[starts] > 0
+    starts, ends = starts[seen], ends[seen]
+    pre = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE[data] * powers(_P, n), out=pre[1:])
+    hashes = mix((pre[ends] - pre[starts]) * powers(_P_INV, n + 1)[starts] + (ends - starts).astype(U64) * _Q)
+    return Runs(hashes, np.searchsorted(starts, off), starts, ends, data)
