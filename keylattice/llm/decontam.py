@@ -217,3 +217,28 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFr
     """The rows of documents that contain no item, with all their columns."""
     found = materialize(find_contamination(docs, benchmark, **kwargs).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     return docs.join(found, docs["doc_id"] == found["__hit"], "left_anti")
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM (SELECT item_id, max(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)),
+     sized AS (SELECT item_id, w, len(w) AS words, least(len(w), {N}) AS n FROM items WHERE len(w) > 0),
+     igrams AS (
+       SELECT DISTINCT item_id, words, n, array_to_string(w[i + 1 : i + n], ' ') AS g
+       FROM (SELECT *, unnest(range(0, words - n + 1)) AS i FROM sized)),
+     isize AS (SELECT item_id, words, n, count(*) AS size, ceil(count(*) * {SHARE} - 1e-9) AS required FROM igrams GROUP BY ALL),
+     docs AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+     dgrams AS (
+       SELECT doc_id, r, i AS pos, n, array_to_string(w[i + 1 : i + n], ' ') AS g
+       FROM (SELECT doc_id, r, w, n, unnest(range(0, len(w) - n + 1)) AS i
+             FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+     hits AS (SELECT doc_id, r, item_id, words, s.n, size, required, pos, g FROM dgrams JOIN igrams USING (n, g) JOIN isize s USING (item_id, words)),
+     enough AS (SELECT * FROM hits QUALIFY count(*) OVER (PARTITION BY r, item_id) >= required),
+     windows AS (
+       SELECT a.doc_id, a.r, a.item_id, a.pos AS start_word, a.size, a.required, count(DISTINCT b.g) AS matched
+       FROM enough a JOIN enough b ON a.r = b.r AND a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + a.words - a.n
+       GROUP BY ALL)
+SELECT doc_id, item_id, matched::INT AS matched, size::INT AS n_grams, matched / size AS containment, start_word::INT AS start_word
+FROM windows WHERE matched >= required
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start_word) = 1
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keylattice.llm import decontam, packing, quality, records, secrets, simhash
+from keylattice.llm import debruijn, decontam, packing, quality, records, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -38,6 +42,6 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op4_secret_links, op5_packing, op7_quality, op9_simhash, op10_records)
+    f.__name__: f for f in (op1_decontamination, op4_secret_links, op5_packing, op6_repeated_spans, op7_quality, op9_simhash, op10_records)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_decontamination": decontam.SQL, "op6_repeated_spans": debruijn.SQL}
