@@ -6,11 +6,13 @@ words, which all texts of a language share, count little.  Documents are near
 duplicates when their fingerprints differ in at most ``DISTANCE`` bits.
 
 The fingerprint is cut into six segments of 21 bits.  Around each segment the
-Hamming ball of radius 1 is enumerated and stored in a table keyed by (segment,
+Hamming ball of radius 1 is enumerated and entered in a table keyed by (segment,
 value).  Two fingerprints whose segments differ in at most 2 bits meet in that
 table, since the balls of both sides meet half-way: 22 keys a segment do what
-232 probes would.  Of the keys on which a pair meets, one is kept.  Every match
-is verified over the complete fingerprints.  By the pigeonhole principle the
+232 probes would.  The table is split by segment and first bits of the value,
+more bits the more fingerprints there are; keys that share them travel as one
+row.  Of the keys on which a pair meets, one is kept.  Every match is verified
+over the complete fingerprints.  By the pigeonhole principle the
 search is exact up to distance 17; beyond it a pair is missed only if every
 segment differs in 3 bits or more (a few per cent at 18 to 20).
 
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keylattice.llm.shared import materialize
 from keylattice.llm.textkit import U64, mix, signed, slices, words
@@ -40,6 +42,10 @@ BITS = SEGMENTS * WIDTH
 DISTANCE = 20
 SCHEMA = "doc_id bigint, duplicate_of bigint, group_size bigint"
 _PRINT = "doc_id bigint, a bigint, b bigint, mark bigint"
+#: Fingerprints that a group of keys should have; more make more groups.
+GROUP_ROWS = 20_000
+#: Meetings verified at once; bounds memory only.
+_PAIRS = 1 << 20
 #: Words whose votes are counted at once; bounds memory only.
 _BLOCK = 1 << 15
 
@@ -79,42 +85,84 @@ def prints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _PRINT)
 
 
-def distance(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
+def _spread(nodes: DataFrame, high: int) -> DataFrame:
+    """Every fingerprint, once for each group of keys that it needs.
 
-
-def _table(nodes: DataFrame) -> DataFrame:
-    """Every fingerprint under the keys of the balls of its segments; flip: the bit that was turned, -1 for none."""
+    A key's group is its segment and its ``high`` first bits.  The segment itself
+    and the turns of its other bits share a group and travel as one row (flip
+    -1); only the turns of the first bits need rows of their own."""
+    low = WIDTH - high
 
     def run(batches):
-        flips = np.append(-1, np.arange(WIDTH))
-        turn = np.append(0, 1 << np.arange(WIDTH, dtype=np.int64))
+        flips = np.append(-1, np.arange(low, WIDTH))
+        turn = np.append(0, 1 << np.arange(low, WIDTH, dtype=np.int64))
         for big in batches:
-            for k in range(0, big.num_rows, 4096):
-                b = big.slice(k, 4096)
-                a, c = (b.column(x).to_numpy() for x in "ab")
-                parts = np.stack([(x >> (WIDTH * s)) & ((1 << WIDTH) - 1) for x in (a, c) for s in range(3)], axis=1)
-                keys = (parts[:, :, None] ^ turn) | (np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << WIDTH)
+            for k in range(0, big.num_rows, 8192):
+                b = big.slice(k, 8192)
+                keys = _segments(b)[:, :, None] ^ turn
+                groups = (keys >> low) | (np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << high)
                 rows = pa.array(np.repeat(np.arange(b.num_rows), SEGMENTS * len(turn)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().astype(np.int32)), pa.array(np.tile(flips, b.num_rows * SEGMENTS).astype(np.int8)), *(b.column(x).take(rows) for x in ("node", "a", "b"))],
-                    names=["key", "flip", "node", "a", "b"],
+                    [pa.array(groups.ravel().astype(np.int32)), pa.array(np.tile(flips, b.num_rows * SEGMENTS).astype(np.int8)), *(b.column(x).take(rows) for x in ("node", "a", "b"))],
+                    names=["part", "flip", "node", "a", "b"],
                 )
 
-    return nodes.mapInArrow(run, "key int, flip tinyint, node bigint, a bigint, b bigint")
+    return nodes.select("node", "a", "b").mapInArrow(run, "part int, flip tinyint, node bigint, a bigint, b bigint")
+
+
+def _segments(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    a, b = (t.column(x).to_numpy() for x in "ab")
+    return np.stack([(x >> (WIDTH * s)) & ((1 << WIDTH) - 1) for x in (a, b) for s in range(3)], axis=1)
+
+
+def match(t: pa.Table, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the verified pairs (x < y) of one group, each pair in the first segment in which it meets."""
+    low = WIDTH - high
+    part, flip = t.column("part").to_numpy(), t.column("flip").to_numpy().astype(np.int64)
+    node, a, b = (t.column(c).to_numpy() for c in ("node", "a", "b"))
+    segments = _segments(t)
+    s = int(part[0]) >> high
+    own = segments[:, s]
+    centre = np.flatnonzero(flip < 0)
+    key = np.concatenate([np.where(flip < 0, own, own ^ (1 << np.maximum(flip, 0))), (own[centre][:, None] ^ (1 << np.arange(low))).ravel()])
+    row = np.concatenate([np.arange(len(own)), np.repeat(centre, low)])
+    turned = np.concatenate([flip, np.tile(np.arange(low), len(centre))])
+    order = np.argsort(key, kind="stable")
+    key, row, turned = key[order], row[order], turned[order]
+    # each entry meets those behind it that have the same key
+    end = np.searchsorted(key, key, "right")
+    ahead = end - np.arange(len(key)) - 1
+    found = [], []
+    block = np.append(0, np.cumsum(ahead)) // _PAIRS
+    cuts = np.unique(np.append(np.flatnonzero(np.diff(block)) + 1, [0, len(key)]))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        n = ahead[i:j]
+        left = np.repeat(np.arange(i, j), n)
+        right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        f, g = turned[left], turned[right]
+        x, y = row[left], row[right]
+        swap = node[x] > node[y]
+        x, y, f, g = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, g, f), np.where(swap, f, g)
+        # of the keys on which a pair meets, one: equal segments, one bit apart, two bits apart
+        one = (node[x] < node[y]) & ((f < g) | ((f < 0) & (g < 0)))
+        x, y = x[one], y[one]
+        near = np.bitwise_count(a[x] ^ a[y]).astype(np.int32) + np.bitwise_count(b[x] ^ b[y]) <= most
+        x, y = x[near], y[near]
+        before = (np.bitwise_count(segments[x, :s] ^ segments[y, :s]) <= 2).any(1)
+        found[0].append(node[x[~before]])
+        found[1].append(node[y[~before]])
+    return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+
+
+def pairs(nodes: DataFrame, most: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Verified pairs (x < y) of distinct fingerprints, each once."""
+    high = min(WIDTH - 1, max(3, (max(1, nodes.count()) // group_rows).bit_length()))
 
+    def run(t: pa.Table) -> pa.Table:
+        x, y = match(t.combine_chunks(), high, most)
+        return pa.table({"x": x, "y": y})
 
-def pairs(nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """Verified pairs (x < y) of distinct fingerprints, each once."""
-    table = _table(nodes)
-    x, y = table.alias("x"), table.alias("y")
-    meets = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-        # one of the keys that a pair shares: equal segments, one bit apart, two bits apart
-        & ((F.col("x.flip") < F.col("y.flip")) | ((F.col("x.flip") == -1) & (F.col("y.flip") == -1)))
-        & (distance(F.col("x.a"), F.col("x.b"), F.col("y.a"), F.col("y.b")) <= most)
-    )
-    return x.join(y, meets).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+    return _spread(nodes, high).groupBy("part").applyInArrow(run, "x bigint, y bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
