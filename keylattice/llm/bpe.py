@@ -23,7 +23,7 @@ from keylattice.llm.textkit import U64, mix, powers, utf8
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks a worker remembers before it starts afresh; affects speed only.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 _BYTE = np.random.default_rng(77).integers(1, 2**63 - 1, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = U64(0x9E3779B97F4A7C15)
@@ -58,8 +58,8 @@ class ChunkEncoder:
 
     def reset(self) -> None:
         self.keys = np.zeros(0, U64)  # ascending
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ class ChunkEncoder:
         ids, size = self._encode(chunks)
         where = np.searchsorted(self.keys, keys)
         at = len(self.pool) + np.cumsum(size) - size
-        self.keys, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+        self.keys, self.at, self.size = (np.insert(x, where, y.astype(x.dtype)) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
         self.pool = np.concatenate([self.pool, ids])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,5 +130,5 @@ class ChunkEncoder:
         size = self.size[where]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
-        ids = self.pool[np.arange(total[-1]) + np.repeat(self.at[where] - total[:-1], size)]
+        ids = self.pool[np.arange(total[-1]) + np.repeat(self.at[where].astype(np.int64) - total[:-1], size)]
         return ids, total[np.searchsorted(starts, off)]

@@ -11,6 +11,8 @@ partitioning or the machine.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once; bounds a worker's memory, not what is processed.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _WORD = np.zeros(256, bool)
@@ -133,6 +135,17 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[ok], ok
 
 
+@functools.lru_cache(1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text has about ``most`` bytes."""
     for b in batches:
@@ -143,6 +156,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for a, z in zip(cuts, cuts[1:]):
             yield b.slice(a, z - a)
+        release()
 
 
 def signed(h: np.ndarray) -> np.ndarray:
