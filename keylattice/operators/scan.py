@@ -225,7 +225,7 @@ def scan(files: DataFrame) -> DataFrame:
 def python_routes(files: DataFrame) -> DataFrame:
     """(file, method, path) of route decorators; ``route`` takes the first of ``methods``, else GET."""
     found = F.regexp_extract_all("text", F.lit(r"(@\w+\.(?:route|get|post|put|delete|patch|head|options)\s*\([^\n]*)"), F.lit(1))
-    r = files.select("file", F.explode(found).alias("d"))
+    r = files.where(F.col("file").endswith(".py")).select("file", F.explode(found).alias("d"))
     verb = F.regexp_extract("d", r"@\w+\.(\w+)", 1)
     listed = F.regexp_extract("d", r"methods\s*=\s*[\[(]\s*['\"](\w+)", 1)
     return r.select("file", F.upper(F.when(verb != "route", verb).when(listed != "", listed).otherwise("GET")).alias("method"), F.regexp_extract("d", r"\(\s*['\"]([^'\"]*)", 1).alias("path"))
@@ -235,7 +235,7 @@ def js_routes(files: DataFrame) -> DataFrame:
     """(file, method, path) of ``object.verb(path, ...)`` calls; a path that isn't a literal is ``<dynamic>``."""
     blocked = "array boolean buffer console crypto date error events fs json map math number object os path process promise set stream string symbol url util".split()
     pattern = r"(\b[A-Za-z_$][\w$.]*\.(?:get|post|put|delete|patch|head|options|all|use)\s*\(\s*[^\s,)]*)"
-    r = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("c"))
+    r = files.where(F.col("file").rlike(r"\.(?:js|jsx|ts|tsx)$")).select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("c"))
     obj = F.lower(F.regexp_extract("c", r"^([\w$.]*)\.\w+\s*\(", 1))
     path = F.regexp_extract("c", r"\(\s*['\"`]([^'\"`]*)", 1)
     head = F.element_at(F.split(obj, r"\."), 1)

@@ -28,11 +28,11 @@ def skipped(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(file, text, language) of a folder's sources; Spark lists and splits the files, unreadable names are pruned before a byte is read."""
-    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    """(file, text, language) of a folder's sources; files of no bytes have no unit and are not listed."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    base = F.regexp_replace("path", r"^file:/*", "/")
     at = len(root.removeprefix("file://").rstrip("/")) + 2
-    files = raw.select(F.col("value").alias("text"), base.alias("_p")).select("text", F.expr(f"substring(_p, {at})").alias("file"))
+    files = raw.select(F.col("content").cast("string").alias("text"), base.alias("_p")).select("text", F.expr(f"substring(_p, {at})").alias("file"))
     return files.where(~skipped(F.col("file"))).withColumn("language", language_of(F.col("file")))
 
 

@@ -37,7 +37,7 @@ JS = "import a from './util'\nconst b = require('../lib/x')\nclass Api {\n  func
 
 
 def test_scan_a_tree(spark, tmp_path):
-    for name, body in {"pkg/app.py": PY, "pkg/store.py": "class Store: pass\n", "web/api.js": JS, "web/util.ts": "export default 1\n", "lib/x.js": "", "node_modules/z.js": JS, "web/t.d.ts": "x", "pkg/setup.py": "", "main.go": "func main() {\n return\n}\n"}.items():
+    for name, body in {"pkg/app.py": PY, "pkg/store.py": "class Store: pass\n", "web/api.js": JS, "web/util.ts": "export default 1\n", "lib/x.js": "\n", "node_modules/z.js": JS, "web/t.d.ts": "x", "pkg/setup.py": "\n", "main.go": "func main() {\n return\n}\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
     f = src.read_tree(spark, str(tmp_path)).cache()
