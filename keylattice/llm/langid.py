@@ -92,7 +92,7 @@ def fit_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 counts[x] = counts.get(x, 0) + n[i * BUCKETS : (i + 1) * BUCKETS]
         for x, n in counts.items():
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "bucket", "n"])
 
     total = docs.select(F.lower(F.trim("lang")).alias("lang"), "text").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(total["lang"].unique())

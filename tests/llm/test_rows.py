@@ -64,22 +64,25 @@ def test_grams_against_brute_force(prose):
 
 
 def test_quality_decides_all(spark, frame, odd, prose):
-    good = [(100 + i, prose(i, 60)) for i in range(40)]
-    bad = [(200 + i, " ".join(w + "%%%" for w in prose(i, 60).split())) for i in range(40)]
+    few_words = prose(0, 14).split()
+    line = lambda i: random.Random(i).choices(few_words, k=120)
+    good = [(100 + i, " ".join(line(i))) for i in range(40)]
+    bad = [(200 + i, " ".join(w + "%%%" for w in line(i))) for i in range(40)]
     docs = frame(odd + good + bad)
     labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(20)] + [(200 + i, 0, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (201, 1, 0)], "doc_id bigint, quality int, toxic int")
-    rows = quality.score(docs, labels).collect()
+    few = {"prior": 0.5}  # a corpus this small needs a weaker prior
+    rows = quality.score(docs, labels, **few).collect()
     assert len(rows) == len(odd) + 80
     keep = {}
     for r in rows:
         keep.setdefault(r["doc_id"], []).append((r["keep"], r["score"]))
     assert all(keep[100 + i][0][0] for i in range(40)) and not any(keep[200 + i][0][0] for i in range(40))
     assert keep[3] == [(True, 0.0)] and keep[4] == [(True, 0.0)] and len(keep[1]) == 2
-    left = quality.keep_good(docs, labels)
+    left = quality.keep_good(docs, labels, **few)
     assert left.columns == docs.columns
     assert left.count() == sum(k for v in keep.values() for k, _ in v)
     # brute force: the same ratio summed text by text
-    ratio = quality.fit(docs, labels)
+    ratio = quality.fit(docs, labels, **few)
     text = dict(good)[105]
     g, _ = quality.grams(pa.array([text]))
     assert keep[105][0][1] == pytest.approx(np.mean([ratio[x] for x in g]))
