@@ -184,24 +184,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 SQL = f"""
-WITH src AS (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
-     edges AS (
-       SELECT doc_id, text, i AS pos, array_to_string(w[i + 1 : i + {K}], ' ') AS e,
+WITH src AS MATERIALIZED (
+       SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS r, {_WORDS} AS w
+       FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+     edges AS MATERIALIZED (
+       SELECT doc_id, r, i AS pos, md5_number(array_to_string(w[i + 1 : i + {K}], ' ')) AS e,
               CASE WHEN i > 0 THEN w[i] ELSE '' END AS before, coalesce(w[i + {K} + 1], '') AS after
-       FROM (SELECT doc_id, text, w, unnest(range(0, len(w) - {K - 1})) AS i FROM src WHERE len(w) >= {K})),
+       FROM (SELECT doc_id, r, w, unnest(range(0, len(w) - {K - 1})) AS i FROM src WHERE len(w) >= {K})),
      stats AS (
        SELECT e, count(*) AS n, min(before) <> max(before) AS cut_in, min(after) <> max(after) AS cut_out,
-              min(struct_pack(d := doc_id, p := pos, t := text)) AS lead
+              min(struct_pack(d := doc_id, p := pos, r := r)) AS lead
        FROM edges GROUP BY e HAVING count(*) > 1),
      known AS (
-       SELECT doc_id, text, pos, n, cut_in, cut_out, lead = struct_pack(d := doc_id, p := pos, t := text) AS is_first
+       SELECT doc_id, r, pos, n, cut_in, cut_out, lead = struct_pack(d := doc_id, p := pos, r := r) AS is_first
        FROM edges JOIN stats USING (e)),
      marked AS (
        SELECT *, coalesce(lag(pos) OVER o <> pos - 1, true) AS new_span,
               coalesce(lag(pos) OVER o <> pos - 1 OR lag(cut_out) OVER o OR cut_in, true) AS new_path
-       FROM known WINDOW o AS (PARTITION BY doc_id, text ORDER BY pos)),
-     spans AS (SELECT *, sum(new_span::int) OVER (PARTITION BY doc_id, text ORDER BY pos) AS span FROM marked)
+       FROM known WINDOW o AS (PARTITION BY r ORDER BY pos)),
+     spans AS (SELECT *, sum(new_span::int) OVER (PARTITION BY r ORDER BY pos) AS span FROM marked)
 SELECT doc_id, min(pos)::INT AS start_word, (max(pos) + {K})::INT AS end_word, sum(new_path::int)::INT AS unitigs,
        min(n) AS min_copies, max(n) AS max_copies, bool_and(is_first) AS first_copy
-FROM spans GROUP BY doc_id, text, span
+FROM spans GROUP BY doc_id, r, span
 """

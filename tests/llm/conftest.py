@@ -33,6 +33,6 @@ def frame(spark):
 
 @pytest.fixture
 def odd(prose):
-    """Null id, null and empty text, a repeated row, a very long text, ties."""
-    long = prose(99, 60_000)
+    """Null id, null and empty text, a repeated row, a long text, ties."""
+    long = prose(99, 4_000)
     return [(1, prose(1, 80)), (1, prose(1, 80)), (None, prose(2, 80)), (3, None), (4, ""), (5, " \n\t "), (6, long), (None, None), (7, "!!! ??? ..."), (8, prose(8, 5))]

@@ -264,3 +264,19 @@ def test_language_of_pages(spark, prose):
     assert all(0 < r["probability"] <= 1 for r in out.values())
     assert langid.identify(pages.where("false"), docs).count() == 0
     assert {r["lang"] for r in langid.identify(pages, docs.where("false")).collect()} == {None}
+
+
+def test_very_long_texts(frame, prose):
+    """A document far longer than a slice goes through every row operator whole."""
+    from keylattice.llm import debruijn, decontam, packing, simhash
+
+    text = prose(77, 400_000)
+    docs = frame([(1, text), (2, text), (3, "short one")])
+    n = 400_000
+    assert sum(r["length"] for r in packing.pack(docs).where("doc_id = 1").select("length").collect()) == len(bpe.encoding(bpe.DEFAULT_VOCABULARY).encode_ordinary(text))
+    spans = debruijn.repeated_spans(docs).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in spans) == [(1, 0, n), (2, 0, n)]
+    assert [(r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(docs).collect()] == [(2, 1)]
+    bench = docs.sparkSession.createDataFrame([(1, " ".join(text.split()[-40:]))], "item_id bigint, text string")
+    assert {r["doc_id"]: r["start_word"] for r in decontam.find_contamination(docs, bench).collect()} == {1: n - 40, 2: n - 40}
+    assert secrets.find_secrets(docs).count() == 0 and pii.find_pii(docs).count() == 0
