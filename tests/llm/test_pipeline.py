@@ -1,13 +1,17 @@
 
 import corpus_pipeline
-from keylattice.llm import bpe
+from keylattice.llm import bpe, quality
 
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "packing"]
 
 
-def test_pipeline_against_brute_force(spark, frame, prose, tmp_path):
+def test_pipeline_against_brute_force(spark, frame, prose, tmp_path, monkeypatch):
+    # a corpus this small needs a weaker prior; everything else is as in production
+    weak = {"prior": 0.5, "threshold": -1.5}
+    keep_good = quality.keep_good
+    monkeypatch.setattr(quality, "keep_good", lambda d, labels: keep_good(d, labels, **weak))
     secret = ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" '
     item = prose(900, 30)
     rows = [(i, prose(i, 120)) for i in range(40)]
@@ -27,8 +31,9 @@ def test_pipeline_against_brute_force(spark, frame, prose, tmp_path):
         assert out.columns == docs.columns, name
         seen = spark.createDataFrame(out.collect(), docs.schema)
     left = {r["doc_id"]: r["text"] for r in seen.collect()}
-    assert not [d for d in left if d is not None and (100 <= d < 200 or d in (200, 201, 202, 203, 204, 210, 300))]
-    assert set(range(40)) <= set(left) and {301, 302, 303, None} <= set(left)
+    kept = {r["doc_id"] for r in quality.score(docs, labels, **weak).where("keep").collect()}
+    assert set(left) == kept - {200, 201, 202, 203, 204, 210, 300}
+    assert not kept & set(range(100, 110)) and {*range(20), 301, 302, 303} <= kept
     assert "24be" not in left[301] and seen.where("doc_id = 5").count() == 1
 
     encode = bpe.encoding(bpe.DEFAULT_VOCABULARY)
