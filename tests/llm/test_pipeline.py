@@ -9,7 +9,7 @@ def test_stages_in_order():
 
 def test_pipeline_against_brute_force(spark, frame, prose, tmp_path, monkeypatch):
     # a corpus this small needs a weaker prior; everything else is as in production
-    weak = {"prior": 0.5, "threshold": -1.5}
+    weak = {"prior": 0.5, "threshold": -0.7}
     keep_good = quality.keep_good
     monkeypatch.setattr(quality, "keep_good", lambda d, labels: keep_good(d, labels, **weak))
     secret = ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" '
@@ -33,7 +33,7 @@ def test_pipeline_against_brute_force(spark, frame, prose, tmp_path, monkeypatch
     left = {r["doc_id"]: r["text"] for r in seen.collect()}
     kept = {r["doc_id"] for r in quality.score(docs, labels, **weak).where("keep").collect()}
     assert set(left) == kept - {200, 201, 202, 203, 204, 210, 300}
-    assert not kept & set(range(100, 110)) and {*range(20), 301, 302, 303} <= kept
+    assert not kept & set(range(100, 110)) and {*range(40), 301, 302, 303} <= kept
     assert "24be" not in left[301] and seen.where("doc_id = 5").count() == 1
 
     encode = bpe.encoding(bpe.DEFAULT_VOCABULARY)
