@@ -25,7 +25,7 @@ def spectral(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 _PRIOR = "list_max(list_transform(tokens, lambda t: coalesce(map_extract(MAP {" + ", ".join(f"'{t}': {p}" for t, p in vocab.PRIOR.items()) + "}, t)[1], 0.3)))"
-_U = f"u AS (SELECT * FROM {event_units_sql()}), toks AS (SELECT * FROM {vocab.TOKENS_SQL}), pairs AS (SELECT * FROM {vocab.PAIRS_SQL})"
+_U = f"u AS MATERIALIZED (SELECT * FROM {event_units_sql()}), toks AS (SELECT * FROM {vocab.TOKENS_SQL}), pairs AS (SELECT * FROM {vocab.PAIRS_SQL})"
 _CENSUS = f"""{_U},
  each AS (SELECT DISTINCT seq, file, unnest(tokens) AS token FROM u),
  census AS (SELECT t.token, t.ord, t.small_band, count(e.seq) AS unit_count, count(DISTINCT e.file) AS file_count,
@@ -35,7 +35,7 @@ _BANDS = f"""{_CENSUS},
  ranked AS (SELECT *, row_number() OVER (ORDER BY unit_count, ord) - 1 AS rk, (SELECT count(*) FROM u) < {census.SMALL} AS used_defaults FROM census),
  banded AS (SELECT *, (CASE WHEN file_pct < 0.01 THEN 1 WHEN file_pct < 0.1 THEN 2 ELSE 3 END)::INT AS band_file,
               (CASE WHEN rk < 9 THEN 1 WHEN rk < 19 THEN 2 ELSE 3 END)::INT AS band_pct FROM ranked),
- bands AS (SELECT token, unit_count, file_count, file_pct, band_file, band_pct,
+ bands AS MATERIALIZED (SELECT token, unit_count, file_count, file_pct, band_file, band_pct,
              (CASE WHEN used_defaults THEN small_band ELSE least(band_file, band_pct) END)::INT AS band, used_defaults FROM banded)"""
 
 
@@ -47,14 +47,14 @@ def _edges_sql(flat: bool) -> str:
  placed AS (SELECT tok.*, {region}),
  bucket AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY band, region, token ORDER BY seq) <= CASE band WHEN 3 THEN {match.BUCKET_FILE} ELSE {match.BUCKET} END),
  comp AS (SELECT key AS token, lock AS other, * FROM pairs UNION ALL SELECT lock, key, * FROM pairs),
- cand AS (SELECT a.seq AS a_seq, b.seq AS b_seq, a.pos AS a_pos, a.token AS a_token, a.band, c.pair_ord, c.key, c.lock,
+ cand AS MATERIALIZED (SELECT a.seq AS a_seq, b.seq AS b_seq, a.pos AS a_pos, a.token AS a_token, a.band, c.pair_ord, c.key, c.lock,
             CASE WHEN a.token = c.key THEN a.unit_id ELSE b.unit_id END AS source_id, CASE WHEN a.token = c.key THEN b.unit_id ELSE a.unit_id END AS target_id,
             round(least(1.0, least(a.confidence, b.confidence) + CASE WHEN a.file = b.file THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN a.file = b.file AND a.cls = b.cls THEN 0.05::DOUBLE ELSE 0 END), 4) AS confidence
           FROM placed a JOIN comp c ON a.token = c.token JOIN bucket b ON a.band = b.band AND a.region = b.region AND b.token = c.other AND a.seq <> b.seq
           WHERE NOT c.class_scoped OR (a.file = b.file AND (a.cls IS NULL OR b.cls IS NULL OR a.cls = b.cls))),
  once AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY least(a_seq, b_seq), greatest(a_seq, b_seq), key, lock ORDER BY a_seq, a_pos, b_seq) = 1),
  fanned AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY a_seq, a_pos ORDER BY pair_ord, b_seq) <= {match.FAN_OUT}),
- edges AS (SELECT source_id, target_id, key AS key_token, lock AS lock_token, confidence,
+ edges AS MATERIALIZED (SELECT source_id, target_id, key AS key_token, lock AS lock_token, confidence,
              CASE WHEN confidence >= 0.85 THEN 'HARD' WHEN confidence >= 0.5 THEN 'PREDICTED' ELSE 'GHOST' END AS edge_type, band::INT AS mask FROM fanned),
  susp AS (SELECT unit_id AS source_id, token, unit_id AS raw_callee, seq FROM tok t WHERE token IN {match.vocab.OUTWARD}
             AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.a_seq = t.seq AND c.a_token = t.token))"""
@@ -64,7 +64,7 @@ _FLAT, _SPEC = _edges_sql(True), _edges_sql(False)
 _ISLANDS = f"""rad AS (SELECT *, least(8000, floor(400 * (1 + 2 * {_PRIOR}) + 1e-9))::INT AS radar FROM u),
  fresh AS (SELECT *, CASE WHEN line_start <= max(line_start + radar) OVER (PARTITION BY file ORDER BY line_start, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM rad),
  isl AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY line_start, seq)::INT AS island FROM fresh),
- members AS (SELECT *, CASE WHEN row_number() OVER w <= greatest({cluster.LEAST}, floor((SELECT count(*) FROM u) * {cluster.SHARE})) THEN first_value(unit_id) OVER w ELSE unit_id END AS root
+ members AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER w <= greatest({cluster.LEAST}, floor((SELECT count(*) FROM u) * {cluster.SHARE})) THEN first_value(unit_id) OVER w ELSE unit_id END AS root
              FROM isl WINDOW w AS (PARTITION BY file, island ORDER BY line_start, seq))"""
 _CL = f"""{_SPEC}, {_ISLANDS},
  deg AS (SELECT unit_id, count(*) AS degree FROM (SELECT source_id AS unit_id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1),
@@ -73,9 +73,10 @@ _CL = f"""{_SPEC}, {_ISLANDS},
  agg AS (SELECT root, count(*) AS size, count(DISTINCT file) AS files FROM members GROUP BY root),
  cdeg AS (SELECT root, sum(degree)::BIGINT AS degree FROM members JOIN deg USING (unit_id) GROUP BY root),
  cl0 AS (SELECT root, size, files, coalesce(dominant, []) AS tokens, coalesce(degree, 0) AS degree FROM agg LEFT JOIN dom USING (root) LEFT JOIN cdeg USING (root)),
- cl AS (SELECT root, size, files, tokens AS dominant, degree,
+ cl AS MATERIALIZED (SELECT root, size, files, tokens AS dominant, degree,
           round(least(1.0, coalesce({_PRIOR}, 0.3)::DOUBLE + least(0.3::DOUBLE, 0.05::DOUBLE * degree) + CASE WHEN files > 1 THEN 0.1::DOUBLE ELSE 0 END + least(0.1::DOUBLE, 0.01::DOUBLE * size)), 4) AS probability FROM cl0),
- ce AS (SELECT e.*, s.root AS source_cluster, t.root AS target_cluster FROM edges e JOIN members s ON e.source_id = s.unit_id JOIN members t ON e.target_id = t.unit_id WHERE s.root <> t.root)"""
+ ce0 AS MATERIALIZED (SELECT e.*, s.root AS source_cluster FROM edges e JOIN members s ON e.source_id = s.unit_id),
+ ce AS MATERIALIZED (SELECT ce0.*, t.root AS target_cluster FROM ce0 JOIN members t ON ce0.target_id = t.unit_id WHERE ce0.source_cluster <> t.root)"""
 
 
 def _mode_sql(name: str, column: str, frm: str = "ce") -> str:
@@ -83,7 +84,7 @@ def _mode_sql(name: str, column: str, frm: str = "ce") -> str:
 
 
 _SEAMS = f"""{_CL}, cp AS (SELECT *, key_token || '->' || lock_token AS pair FROM ce), {_mode_sql('mt1', 'edge_type', 'cp')}, {_mode_sql('mt2', 'pair', 'cp')},
- seams AS (SELECT * FROM (SELECT source_cluster, target_cluster, count(*) AS edge_count, round(max(confidence), 4) AS max_confidence FROM cp GROUP BY ALL)
+ seams AS MATERIALIZED (SELECT * FROM (SELECT source_cluster, target_cluster, count(*) AS edge_count, round(max(confidence), 4) AS max_confidence FROM cp GROUP BY ALL)
            JOIN mt1 USING (source_cluster, target_cluster) JOIN mt2 USING (source_cluster, target_cluster))"""
 
 
@@ -200,7 +201,7 @@ def seam_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.seam_bundles(e, m)
 
 
-_NAMES = "names AS (SELECT root, cls AS name FROM members GROUP BY root, cls QUALIFY row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min(seq)) = 1)"
+_NAMES = "names AS MATERIALIZED (SELECT root, cls AS name FROM members GROUP BY root, cls QUALIFY row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min(seq)) = 1)"
 
 
 @query(f"WITH {_CL}, {_NAMES} SELECT * FROM names")
@@ -208,8 +209,8 @@ def cluster_names(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.cluster_names(cluster.island_clusters(units(spark, sf)))
 
 
-@query(f"""WITH {_CL}, {_NAMES} SELECT s.name AS source_name, t.name AS target_name, key_token, lock_token, count(*) AS n, CASE WHEN bool_or(edge_type = 'HARD') THEN 'HARD' ELSE 'PREDICTED' END AS best_type
- FROM ce LEFT JOIN names s ON s.root = source_cluster LEFT JOIN names t ON t.root = target_cluster WHERE s.name <> t.name AND key_token NOT IN ('INIT', 'TEARDOWN') AND lock_token NOT IN ('INIT', 'TEARDOWN') GROUP BY ALL""")
+@query(f"""WITH {_CL}, {_NAMES}, n0 AS MATERIALIZED (SELECT ce.*, s.name AS source_name FROM ce JOIN names s ON s.root = source_cluster) SELECT source_name, t.name AS target_name, key_token, lock_token, count(*) AS n, CASE WHEN bool_or(edge_type = 'HARD') THEN 'HARD' ELSE 'PREDICTED' END AS best_type
+ FROM n0 JOIN names t ON t.root = target_cluster WHERE source_name <> t.name AND key_token NOT IN ('INIT', 'TEARDOWN') AND lock_token NOT IN ('INIT', 'TEARDOWN') GROUP BY ALL""")
 def cross_edge_names(spark: SparkSession, sf: str) -> DataFrame:
     m, e, _ = clusters(spark, sf)
     return cluster.cross_edge_names(e, m, cluster.cluster_names(m))
