@@ -66,12 +66,13 @@ RULES: list[tuple[str, str, re.Pattern, bool]] = [
     ("secret", "random_string", re.compile(r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,200}={0,2})(?![A-Za-z0-9+/_\-=])"), True),
 ]
 _RANK = {"strong": 0, "access": 1, "endpoint": 2, "secret": 3}
+_GAP = r"[\s\pZ\x0b\x1c-\x1f\x{85}]{0,4}"  # what Python's \s matches
 #: A text that this RE2 pattern doesn't match has no part that could be reported.
 PREFILTER = (
     r"PRIVATE KEY|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|glpat-|npm_|eyJ|://"
-    r"|(?i:secret|token|passw|pwd|passphrase|api[_-]?key|access[_-]?key|credential|auth)[A-Za-z0-9_.-]{0,40}[\"']?\s{0,4}(?::=|=>|[:=])"
+    rf"|(?i:secret|token|passw|pwd|passphrase|ap[iİı][_-]?key|access[_-]?key|pr[iİı]vate[_-]?key|credent[iİı]al|auth)[A-Za-z0-9_.\-İıſK]{{0,40}}[\"']?{_GAP}(?::=|=>|[:=])"
     r"|(?:AKIA|ASIA|AIDA|AROA)[A-Z2-7]{16}|(?:AC|SK)[0-9a-f]{32}"
-    r"|(?i:client[_-]?id|app[_-]?id|account[_-]?id|key[_-]?id|user|username|login)[\"']?\s{0,4}(?::=|=>|[:=])"
+    rf"|(?i:cl[iİı]ent[_-]?[iİı]d|app[_-]?[iİı]d|account[_-]?[iİı]d|key[_-]?[iİı]d|user|username|log[iİı]n)[\"']?{_GAP}(?::=|=>|[:=])"
 )
 
 
