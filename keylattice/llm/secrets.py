@@ -55,15 +55,15 @@ RULES: list[tuple[str, str, re.Pattern, bool]] = [
     ("strong", "private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:.*?-----END [A-Z ]{0,30}PRIVATE KEY-----)?", re.S), False),
     ("strong", "provider_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), False),
     ("strong", "web_token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), False),
-    ("strong", "url_password", re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@\"']{1,100}:[^\s/:@\"']{3,200}@[A-Za-z0-9.\-]+(?::\d+)?[^\s\"'<>]*"), False),
-    ("strong", "assigned_secret", re.compile(rf"(?i:{_NAME})[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"'`]?([A-Za-z0-9+/_\-.~]{{16,512}}={{0,2}})[\"'`]?"), True),
+    ("strong", "url_password", re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@\"']+:[^\s/:@\"']{3,}@[A-Za-z0-9.\-]+(?::\d+)?[^\s\"'<>]*"), False),
+    ("strong", "assigned_secret", re.compile(rf"(?i:{_NAME})[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"'`]?([A-Za-z0-9+/_\-.~]{{16,}}={{0,2}})[\"'`]?"), True),
     ("access", "key_id", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z2-7]{16}(?![A-Z0-9])"), False),
     ("access", "account_id", re.compile(r"(?<![A-Za-z0-9])(?:AC|SK)[0-9a-f]{32}(?![A-Za-z0-9])"), False),
-    ("access", "named_id", re.compile(r"(?i:client[_\-]?id|app[_\-]?id|account[_\-]?id|access[_\-]?key[_\-]?id|user(?:name)?|login)[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([A-Za-z0-9._@\-]{3,128})[\"'`]?"), False),
+    ("access", "named_id", re.compile(r"(?i:client[_\-]?id|app[_\-]?id|account[_\-]?id|access[_\-]?key[_\-]?id|user(?:name)?|login)[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([A-Za-z0-9._@\-]{3,})[\"'`]?"), False),
     ("endpoint", "service_url", re.compile(r"(?:https?|wss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|ftp|s3)://[A-Za-z0-9.\-]+(?::\d+)?[^\s\"'<>]*"), False),
     ("endpoint", "named_host", re.compile(r"(?i:endpoint|host(?:name)?|server|base[_\-]?url)[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+(?::\d+)?[^\s\"'<>`]*)[\"'`]?"), False),
-    ("secret", "short_password", re.compile(r"(?i:secret|passwd|password|pwd|passphrase|token)[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([^\s\"'`,;]{4,128})[\"'`]?"), False),
-    ("secret", "random_string", re.compile(r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,200}={0,2})(?![A-Za-z0-9+/_\-=])"), True),
+    ("secret", "short_password", re.compile(r"(?i:secret|passwd|password|pwd|passphrase|token)[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([^\s\"'`,;]{4,})[\"'`]?"), False),
+    ("secret", "random_string", re.compile(r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9+/_\-=])"), True),
 ]
 _RANK = {"strong": 0, "access": 1, "endpoint": 2, "secret": 3}
 _GAP = r"[\s\pZ\x0b\x1c-\x1f\x{85}]{0,4}"  # what Python's \s matches

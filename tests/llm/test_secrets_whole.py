@@ -1,7 +1,5 @@
 """What the secret scan reports doesn't depend on the prefilter, and is the whole value."""
 
-import pytest
-
 from keylattice.llm import secrets
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
