@@ -8,11 +8,11 @@ the cell's smoothed share of the whole corpus.  A document's score is the sum,
 over all its words, of log p(word | its neighbours), as if each were masked.
 
 What is gathered from the corpus covers every document: the counts of all
-cells, and the network, which every input partition trains on the masked words
-of all its documents (one in ``MASK``, by hash of the context).  The partitions'
+cells, and the network, which every input partition trains on all words of all
+its documents.  In each of ``ROUNDS`` rounds the words whose turn it is, by hash
+of the context, are masked, so every word is the target once.  The partitions'
 networks start from the same weights and are averaged by their number of masked
-words in a distributed aggregation; the driver only gets the mean.  Two rounds
-of it train on different words.  What is broadcast, the cells' log shares and
+words in a distributed aggregation; the driver only gets the mean.  What is broadcast, the cells' log shares and
 the network, has a fixed size.
 
 Three kinds of narrow passes (count, train, score); the only shuffles carry
@@ -38,7 +38,7 @@ from keylattice.llm.textkit import U64, Words, mix, slices, words
 CELLS = 1 << 18
 CLASSES, SHARED = 128, 32
 SIDE, EMBED, HIDDEN = 2, 12, 32
-MASK, ROUNDS, BATCH, RATE = 24, 2, 256, 0.03
+ROUNDS, BATCH, RATE = 2, 256, 0.03
 SCHEMA = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
 _BLOCK = 4096
 
@@ -112,9 +112,9 @@ class Network:
         p[np.arange(len(p)), target] -= 1
         p /= len(p)
         dh = (p @ v.T) * (1 - h * h)
-        de = np.zeros_like(e)
-        np.add.at(de, context.ravel(), (dh @ w.T).reshape(-1, EMBED))
-        g = np.concatenate([de.ravel(), (x.T @ dh).ravel(), dh.sum(0), (h.T @ p).ravel(), p.sum(0)])
+        at = context.astype(np.int64).reshape(-1, 1) * EMBED + np.arange(EMBED)
+        de = np.bincount(at.ravel(), (dh @ w.T).ravel(), e.size).astype(np.float32)
+        g = np.concatenate([de, (x.T @ dh).ravel(), dh.sum(0), (h.T @ p).ravel(), p.sum(0)])
         state += g * g
         self.flat -= (rate * g / (np.sqrt(state) + 1e-4)).astype(np.float32)
 
@@ -148,16 +148,16 @@ def _counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def masked(w: Words, around: np.ndarray, turn: int) -> np.ndarray:
-    """The words that are masked for training in this round: one in MASK, by hash of the place in the text and the neighbours."""
+def masked(w: Words, around: np.ndarray, turn: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The words that are masked for training in this round, by hash of the place in the text and the neighbours; each word is in one of the rounds."""
     pos = (np.arange(len(around)) - np.repeat(w.first[:-1], w.counts)).astype(U64)
     near = np.zeros(len(around), U64)
     for j in range(around.shape[1]):
         near = near * U64(1_000_003) + around[:, j].astype(U64)
-    return np.flatnonzero(mix(near + mix(pos)) % U64(MASK) == U64(turn % MASK))
+    return np.flatnonzero(mix(near + mix(pos)) % U64(rounds) == U64(turn))
 
 
-def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int) -> Network:
+def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
     given = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
 
     def run(batches):
@@ -166,7 +166,7 @@ def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int) -> Netwo
         for b in slices(batches):
             w = words(b.column("text"))
             _, k, around = contexts(w, vocab)
-            some = masked(w, around, turn)
+            some = masked(w, around, turn, rounds)
             for i in range(0, len(some), BATCH):
                 at = some[i : i + BATCH]
                 net.train(around[at], k[at], state)
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     vocab = vocabulary(_counts(docs))
     net = Network.fresh(vocab.log_class)
     for turn in range(rounds):
-        net = _train(docs, vocab, net, turn)
+        net = _train(docs, vocab, net, turn, rounds)
     return vocab, net
 
 
