@@ -43,8 +43,10 @@ from keylattice.llm.textkit import U64, mix, shingles, signed, slices, words
 
 K = 51
 ANCHOR = 15
+#: Bits of an edge's hash that it is told apart by, besides its 64-bit anchor.
+EDGE_BITS = 63
 SCHEMA = "doc_id bigint, start_word int, end_word int, unitigs int, min_copies bigint, max_copies bigint, first_copy boolean"
-_RUNS = "anchor bigint, content bigint, doc_id bigint, at bigint, edges array<int>"
+_RUNS = "anchor bigint, content bigint, doc_id bigint, at bigint, edges array<bigint>"
 _PATHS = "anchor bigint, content bigint, paths array<struct<off:int,len:int,cut_in:boolean,cut_out:boolean,sig:bigint>>"
 
 
@@ -63,15 +65,15 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     return merge(at, width - have) if width > have else at
 
 
-def runs_of_edges(texts: pa.Array, k: int = K, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def runs_of_edges(texts: pa.Array, k: int = K, anchor: int = ANCHOR, bits: int = 31) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring k-mers with one anchor: text, first word, anchor hash, content hash, offsets into edges, edges.
 
-    A run's edges have the edge before and the edge after it around them, 0 where the text ends."""
+    A run's edges have the edge before and the edge after it around them, 0 where the text ends.  An edge is the first ``bits`` bits of its hash, plus one."""
     w = words(texts)
     edge, s = shingles(w, k)
     if not len(s):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, np.zeros(1, np.int64), np.zeros(0, np.int32)
+        return z, z, z, z, np.zeros(1, np.int64), np.zeros(0, np.int64)
     a = np.full(len(w.hashes), ~U64(0))
     h, p = shingles(w, anchor)
     a[p] = mix(h ^ U64(0x1234567))
@@ -82,9 +84,8 @@ def runs_of_edges(texts: pa.Array, k: int = K, anchor: int = ANCHOR) -> tuple[np
     fresh[1:-1] = s[1:] != s[:-1] + 1
     b = np.flatnonzero(begin)
     e = np.append(b[1:], len(s)) - 1
-    small = (edge >> U64(33)).astype(np.int32) + np.int32(1)
-    wide = np.zeros(len(s) + 2, np.int32)
-    wide[1:-1] = small
+    wide = np.zeros(len(s) + 2, np.int64)
+    wide[1:-1] = np.minimum(edge >> U64(64 - bits), U64(2**63 - 2)).astype(np.int64) + 1
     before = np.where(fresh[b], 0, wide[b])
     after = np.where(fresh[e + 1], 0, wide[e + 2])
     content = mix(edge[b] + mix(edge[e] * U64(3) + mix(before.astype(U64) * U64(0x9E3779B97F4A7C15) + mix(after.astype(U64) + U64(1 << 40)))))
@@ -99,7 +100,7 @@ def runs_of_edges(texts: pa.Array, k: int = K, anchor: int = ANCHOR) -> tuple[np
 def _runs(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            text, start, anchor, content, off, edges = runs_of_edges(b.column("text"))
+            text, start, anchor, content, off, edges = runs_of_edges(b.column("text"), bits=EDGE_BITS)
             mark = b.column("mark").to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
