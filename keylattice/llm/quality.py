@@ -10,7 +10,7 @@ Tokens are runs of letters and digits with their case, or runs of punctuation,
 so decorated, shouted or tabular text has n-grams of its own.
 
 The trusted set is a bounded sample of the labels: the ``TRUSTED`` labelled
-good documents with the smallest hashed ids.  The raw counts cover the whole
+good documents, none labelled toxic, with the smallest hashed ids.  The raw counts cover the whole
 table.  What is broadcast is two vectors of ``BUCKETS`` numbers and the sampled
 ids; none grows with the data.  Two narrow passes over the text, and one
 aggregation of at most ``BUCKETS`` rows a task.
@@ -18,7 +18,7 @@ aggregation of at most ``BUCKETS`` rows a task.
 Defined cases: a null or empty text has no n-grams, a score of 0 and is kept
 (there is nothing to hold against it); a row with a null ``doc_id`` is scored
 like any other; repeated rows count and are scored each on its own; null labels
-are ignored, an id labelled both good and bad is not trusted; with no trusted
+are ignored, an id labelled both good and bad, or toxic, is not trusted; with no trusted
 document every score is 0; other columns are left alone; a tie with the
 threshold is kept.
 """
@@ -63,8 +63,8 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
     good = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("q"), F.max("quality").alias("p"))
-        .where("q = 1 and p = 1")
+        .agg(F.min("quality").alias("q"), F.max("quality").alias("p"), F.max("toxic").alias("toxic"))
+        .where("q = 1 and p = 1 and coalesce(toxic, 0) = 0")
     )
     return np.sort(np.array([r[0] for r in good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()], np.int64))
 
