@@ -1,11 +1,14 @@
 """Byte-pair token ids of whole texts, encoding each distinct chunk once.
 
 A text is cut in front of every single space that has a non-space byte on both
-sides, between a letter and punctuation, and around a line feed.  The public
+sides, between a letter and punctuation, in front of a line feed that follows a
+visible character, and between such a line feed and a letter.  The public
 byte-level pattern always ends a piece there (a space joins the piece after
-it), so the ids of the chunks, put together, are exactly the ids of the text.  Chunks repeat heavily, so a worker keeps the ids of those it
-has met, by 64-bit content hash, and the vocabulary file is only consulted for
-new ones.
+it), so the ids of the chunks, put together, are exactly the ids of the text.
+A run of two or more white characters is never cut inside or behind: the
+pattern gives its last one to the letter's side or keeps it, by what precedes.
+Chunks repeat heavily, so a worker keeps the ids of those it has met, by 64-bit
+content hash, and the vocabulary file is only consulted for new ones.
 """
 
 from __future__ import annotations
@@ -111,7 +114,8 @@ class ChunkEncoder:
         cut = np.zeros(n, bool)
         prev, here = data[:-1], data[1:]
         cut[1:-1] = (here[:-1] == 32) & ~_SPACE[prev[:-1]] & ~_STOP[data[2:]]
-        cut[1:] |= (_PUNCT[here] & _LETTER[prev]) | ((here == 10) & _FULL[prev]) | ((prev == 10) & _LETTER[here])
+        cut[1:] |= (_PUNCT[here] & _LETTER[prev]) | ((here == 10) & _FULL[prev])
+        cut[2:] |= _LETTER[data[2:]] & (data[1:-1] == 10) & _FULL[data[:-2]]
         cut[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         # a cut must not look over the border of its text

@@ -3,7 +3,8 @@
 Intermediate tables go to the folder that the session names in
 ``spark.checkpoint.dir``, which every executor can read, so a lost executor
 costs a recomputed task and never a lost table.  A folder of our own is made
-only where the setting is absent (tests, a single machine).
+only where the setting is absent and the session runs on this machine alone
+(tests); on a cluster without the setting an error is raised.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster can reach")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="keylattice-")
@@ -41,6 +46,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like this one that none of these (whatever their case) clashes with."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the table to the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession

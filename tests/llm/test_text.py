@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from keylattice.llm import bpe, packing, textkit as tk
 
@@ -33,7 +33,9 @@ def test_words_and_shingles(texts):
 
 
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab ,.'\n\t 　é中1!")), max_size=30), max_size=5))
-@settings(max_examples=150, deadline=None)
+@example(["\n\na"]).via("blank line at the start")
+@example(["a\n\nb", "a \nb", "a\r\nb", "a\n\n\nb c", "a\n \nb", "a\n", "b", "\nc", "\n\n", "'s\n\n's"]).via("blank lines")
+@settings(max_examples=600, deadline=None)
 def test_chunked_ids_are_the_encoders_ids(texts):
     encode = bpe.ChunkEncoder()
     for _ in range(2):  # from a cold and a warm cache
