@@ -25,9 +25,11 @@ text itself.
 
 Defined cases: a null or empty text has no parts; a row with a null ``doc_id``
 is scanned and reported with a null id; repeated rows are scanned each on its
-own; overlapping parts of several rules are one part, the strongest, longest
-and first rule winning; other columns are neither read nor changed; an empty
-table gives an empty result.
+own; a text of any length is scanned whole, and no value, name or key block has
+a longest length; overlapping parts of several rules are one part, the
+strongest, longest and first rule winning, the earlier one in a tie; other
+columns are neither read nor changed, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -50,9 +52,15 @@ REACH = 300
 LEAST_ENTROPY = 3.0
 SCHEMA = "doc_id bigint, kind string, rule string, start int, end int, linked string, confidence double"
 
-_NAME = r"(?:[a-z0-9_.\-]{0,40}(?:secret|token|passwd|password|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|auth)[a-z0-9_.\-]{0,20})"
+#: A name of any length that holds one of these words, read once from its start.
+_NAME = r"(?<![a-z0-9_.\-])(?=[a-z0-9_.\-]*?(?:secret|token|passwd|password|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|auth))[a-z0-9_.\-]++"
+#: A key block to its END line; without one, to the end of its base64 lines.
+_KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----).)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:[ \t\r\\n]*\n?(?:Proc-Type|DEK-Info):[^\n]*)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{40,}+={0,2})*+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={0,2}(?=[\s\"'\\]|$))?)"
+)
 RULES: list[tuple[str, str, re.Pattern, bool]] = [
-    ("strong", "private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:.*?-----END [A-Z ]{0,30}PRIVATE KEY-----)?", re.S), False),
+    ("strong", "private_key", re.compile(_KEY_BLOCK, re.S), False),
     ("strong", "provider_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), False),
     ("strong", "web_token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), False),
     ("strong", "url_password", re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@\"']+:[^\s/:@\"']{3,}@[A-Za-z0-9.\-]+(?::\d+)?[^\s\"'<>]*"), False),
@@ -70,7 +78,7 @@ _GAP = r"[\s\pZ\x0b\x1c-\x1f\x{85}]{0,4}"  # what Python's \s matches
 #: A text that this RE2 pattern doesn't match has no part that could be reported.
 PREFILTER = (
     r"PRIVATE KEY|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|glpat-|npm_|eyJ|://"
-    rf"|(?i:secret|token|passw|pwd|passphrase|ap[iİı][_-]?key|access[_-]?key|pr[iİı]vate[_-]?key|credent[iİı]al|auth)[A-Za-z0-9_.\-İıſK]{{0,40}}[\"']?{_GAP}(?::=|=>|[:=])"
+    rf"|(?i:secret|token|passw|pwd|passphrase|ap[iİı][_-]?key|access[_-]?key|pr[iİı]vate[_-]?key|credent[iİı]al|auth)[A-Za-z0-9_.\-İıſK]*[\"']?{_GAP}(?::=|=>|[:=])"
     r"|(?:AKIA|ASIA|AIDA|AROA)[A-Z2-7]{16}|(?:AC|SK)[0-9a-f]{32}"
     rf"|(?i:cl[iİı]ent[_-]?[iİı]d|app[_-]?[iİı]d|account[_-]?[iİı]d|key[_-]?[iİı]d|user|username|log[iİı]n)[\"']?{_GAP}(?::=|=>|[:=])"
 )
