@@ -66,28 +66,56 @@ def test_grams_against_brute_force(prose):
 def test_quality_decides_all(spark, frame, odd, prose):
     few_words = prose(0, 14).split()
     line = lambda i: random.Random(i).choices(few_words, k=120)
-    good = [(100 + i, " ".join(line(i))) for i in range(40)]
+    good = [(100 + i, " ".join(line(i))) for i in range(80)]
     bad = [(200 + i, " ".join(w + "%%%" for w in line(i))) for i in range(40)]
-    docs = frame(odd + good + bad)
-    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(20)] + [(200 + i, 0, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (201, 1, 0)], "doc_id bigint, quality int, toxic int")
-    few = {"prior": 0.5}  # a corpus this small needs a weaker prior
-    rows = quality.score(docs, labels, **few).collect()
-    assert len(rows) == len(odd) + 80
+    odd = [(d, None if t is None else "" if d in (1, 6, 8, None) else t) for d, t in odd]  # only texts without words beside those
+    docs = frame([*odd, (9, ""), *good, *bad])
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(40)] + [(200 + i, 0, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (201, 1, 0)], "doc_id bigint, quality int, toxic int")
+    rows = quality.score(docs, labels).collect()
+    assert len(rows) == len(odd) + 121
     keep = {}
     for r in rows:
         keep.setdefault(r["doc_id"], []).append((r["keep"], r["score"]))
-    assert all(keep[100 + i][0][0] for i in range(40)) and not any(keep[200 + i][0][0] for i in range(40))
+    assert sum(keep[100 + i][0][0] for i in range(80)) >= 76 and not any(keep[200 + i][0][0] for i in range(40))
     assert keep[3] == [(True, 0.0)] and keep[4] == [(True, 0.0)] and len(keep[1]) == 2
-    left = quality.keep_good(docs, labels, **few)
+    left = quality.keep_good(docs, labels)
     assert left.columns == docs.columns
     assert left.count() == sum(k for v in keep.values() for k, _ in v)
-    # brute force: the same ratio summed text by text
-    ratio = quality.fit(docs, labels, **few)
-    text = dict(good)[105]
-    g, _ = quality.grams(pa.array([text]))
-    assert keep[105][0][1] == pytest.approx(np.mean([ratio[x] for x in g]))
     assert quality.score(frame([]), labels).count() == 0
-    assert {r["score"] for r in quality.score(docs, labels.where("false")).collect()} == {0.0}
+    none = quality.score(docs, labels.where("false")).collect()
+    assert {r["score"] for r in none} == {0.0} and all(r["keep"] for r in none)
+
+
+def test_quality_against_brute_force(spark, frame, prose):
+    """Counts, ratio, held-out threshold and decisions, from dictionaries; a long text, a repeated and a shared id."""
+    rows = [(i, prose(i % 7, 30 + i)) for i in range(40)] + [(7, prose(3, 35)), (8, prose(99, 20)), (50, prose(4, 200_000)), (51, "%%% ### %%%"), (None, prose(5, 30)), (2**53 + 1, "@@ && @@"), (2**53, prose(1, 10))]
+    labels = [(i, 1, 0) for i in range(20)] + [(i, 0, 0) for i in range(20, 30)] + [(2**53, 1, 0)]
+    docs = frame(rows)
+    labelled = spark.createDataFrame([(*x, "a", "b") for x in labels], "doc_id bigint, quality int, toxic int, keep string, score string")
+    target, held = (set(x.tolist()) for x in quality.trusted_ids(labelled))
+    assert len(target) == 11 and len(held) == 10 and target | held == {*range(20), 2**53}
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    each = [quality.grams(pa.array([t]))[0] for _, t in rows]
+    for (d, _), g in zip(rows, each):
+        for x in g.tolist() if len(g) < 5000 else []:
+            raw[x] += 1
+            good[x] += d in target
+        if len(g) >= 5000:
+            raw += np.bincount(g, minlength=quality.BUCKETS)
+    p = [(x + 1) / (raw.sum() + len(raw)) for x in raw]
+    ratio = [np.log((t / good.sum() + quality.PRIOR * s) / (1 + quality.PRIOR) / s) for t, s in zip(good, p)]
+    score = [float(np.mean([ratio[x] for x in g.tolist()])) if len(g) else 0.0 for g in each]
+    lowest = {d: min(s for (e, _), s in zip(rows, score) if e == d) for d in held}
+    least = min(0, sorted(lowest.values())[int(quality.LOST * len(lowest))])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_grams"], round(r["score"], 9), r["keep"]) for r in quality.score(docs, labelled).collect())
+    want = sorted((-1 if d is None else d, len(g), round(s, 9), s >= least - 1e-9) for (d, _), g, s in zip(rows, each, score))
+    assert got == want
+    assert not all(k for *_, k in got)
+
+
+def test_null_ids_do_not_blur_others():
+    ids = pa.array([None, 2**53 + 1, 2**53], pa.int64())
+    assert quality.among(ids, np.array([2**53])).tolist() == [False, False, True]
 
 
 RANDOM = "aZ3kQ9xT7bL2mN8vR4wY6cJ1hG5dF0sP"
