@@ -5,27 +5,32 @@ distinct words; a word weighs its length less one (1 to 6), so short function
 words, which all texts of a language share, count little.  Documents are near
 duplicates when their fingerprints differ in at most ``DISTANCE`` bits.
 
-The fingerprint is cut into six segments of 21 bits.  Around each segment the
+The fingerprint is cut into seven segments of 18 bits.  Around each segment the
 Hamming ball of radius 1 is enumerated and entered in a table keyed by (segment,
 value).  Two fingerprints whose segments differ in at most 2 bits meet in that
-table, since the balls of both sides meet half-way: 22 keys a segment do what
-232 probes would.  The table is split by segment and first bits of the value,
-more bits the more fingerprints there are; keys that share them travel as one
-row.  Of the keys on which a pair meets, one is kept.  Every match is verified
-over the complete fingerprints.  By the pigeonhole principle the
-search is exact up to distance 17; beyond it a pair is missed only if every
-segment differs in 3 bits or more (a few per cent at 18 to 20).
+table, since the balls of both sides meet half-way: 19 keys a segment do what
+172 probes would.  By the pigeonhole principle fingerprints that differ in 20
+bits or fewer have such a segment, so the search is exact.  The table is split
+by segment and first bits of the value, more bits the more fingerprints there
+are; keys that share them travel as one row.  Of the keys on which a pair meets,
+one is kept, and every match is verified over the complete fingerprints.
 
 Equal fingerprints are folded into one before the search, so exact copies cost
-nothing.  Groups are the connected components of the verified pairs; the
-smallest ``doc_id`` of a group is the one that stays.
+nothing.  A part of the table with more than ``PART_ROWS`` rows is dealt into
+blocks, and each pair of blocks is a task's work of its own, so no hot segment
+value gathers in one task.  Pairs never leave a part: it returns, for each of
+its fingerprints, the number of links and the root of its tree in the part's
+spanning forest.  Groups are the connected components of all forests; the text
+with the smallest (``doc_id``, text hash) of a group is the one that stays.
 
 Defined cases: null and empty texts, and texts without a word, have no
-fingerprint and duplicate nothing; rows with a null ``doc_id`` cannot be named
-and are left out of ``near_duplicates``, and all stay in ``keep_one``; rows that
-share a ``doc_id`` are one document, of which ``keep_one`` keeps one row (the
-one with the smallest text hash); ties of the vote give a zero bit; other
-columns are left alone; an empty table gives an empty result.
+fingerprint, duplicate nothing and all stay; a text of any length is voted on
+whole; rows with a null ``doc_id`` cannot be named, are left out of
+``near_duplicates``, and all stay in ``keep_one``; rows that share a ``doc_id``
+and differ in text are judged each by its own text; rows that share both are one
+document, of which ``keep_one`` keeps one row; ties of the vote give a zero bit;
+other columns, whatever their names, are left alone; an empty table gives an
+empty result; an id that isn't a number fails the cast to bigint.
 """
 
 from __future__ import annotations
@@ -34,17 +39,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keylattice.llm.shared import materialize
-from keylattice.llm.textkit import U64, mix, signed, slices, words
+from keylattice.llm.shared import fresh, materialize
+from keylattice.llm.textkit import U64, mix, slices, words
 
-SEGMENTS, WIDTH = 6, 21
+SEGMENTS, WIDTH = 7, 18
 BITS = SEGMENTS * WIDTH
 DISTANCE = 20
-SCHEMA = "doc_id bigint, duplicate_of bigint, group_size bigint"
 _PRINT = "doc_id bigint, a bigint, b bigint, mark bigint"
-#: Fingerprints that a group of keys should have; more make more groups.
+#: Fingerprints that a part of the table should have; more make more parts.
 GROUP_ROWS = 20_000
-#: Meetings verified at once; bounds memory only.
+#: Rows of a part beyond which it is dealt into blocks.
+PART_ROWS = 400_000
+#: Verified pairs folded at once; bounds memory only.
 _PAIRS = 1 << 20
 #: Words whose votes are counted at once; bounds memory only.
 _BLOCK = 1 << 15
@@ -85,41 +91,99 @@ def prints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _PRINT)
 
 
-def _spread(nodes: DataFrame, high: int) -> DataFrame:
-    """Every fingerprint, once for each group of keys that it needs.
+def _segments(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    a, b = (t.column(x).to_numpy() for x in "ab")
+    every = (b, b >> 18, b >> 36, (b >> 54) | (a << 9), a >> 9, a >> 27, a >> 45)
+    return np.stack([x & ((1 << WIDTH) - 1) for x in every], axis=1)
+
+
+def _rows_of(b: pa.RecordBatch, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and flip of every row that the fingerprints need: (node, segment, row).
 
-    A key's group is its segment and its ``high`` first bits.  The segment itself
-    and the turns of its other bits share a group and travel as one row (flip
-    -1); only the turns of the first bits need rows of their own."""
+    A part is a segment and its ``high`` first bits.  The segment itself and the
+    turns of its other bits share a part and travel as one row (flip -1); only
+    the turns of the first bits need rows of their own."""
     low = WIDTH - high
+    turn = np.append(0, 1 << np.arange(low, WIDTH, dtype=np.int64))
+    keys = _segments(b)[:, :, None] ^ turn
+    part = (keys >> low) | (np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << high)
+    return part, np.broadcast_to(np.append(-1, np.arange(low, WIDTH)), part.shape)
+
+
+def _pieces(batches):
+    for big in batches:
+        for k in range(0, big.num_rows, 8192):
+            yield big.slice(k, 8192)
+
+
+def _blocks(nodes: DataFrame, high: int, part_rows: int) -> np.ndarray:
+    """Blocks of each part; there are SEGMENTS * 2**high parts, whatever the number of fingerprints."""
+    size = SEGMENTS << high
 
     def run(batches):
-        flips = np.append(-1, np.arange(low, WIDTH))
-        turn = np.append(0, 1 << np.arange(low, WIDTH, dtype=np.int64))
-        for big in batches:
-            for k in range(0, big.num_rows, 8192):
-                b = big.slice(k, 8192)
-                keys = _segments(b)[:, :, None] ^ turn
-                groups = (keys >> low) | (np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << high)
-                rows = pa.array(np.repeat(np.arange(b.num_rows), SEGMENTS * len(turn)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(groups.ravel().astype(np.int32)), pa.array(np.tile(flips, b.num_rows * SEGMENTS).astype(np.int8)), *(b.column(x).take(rows) for x in ("node", "a", "b"))],
-                    names=["part", "flip", "node", "a", "b"],
-                )
-
-    return nodes.select("node", "a", "b").mapInArrow(run, "part int, flip tinyint, node bigint, a bigint, b bigint")
+        n = np.zeros(size, np.int64)
+        for b in _pieces(batches):
+            n += np.bincount(_rows_of(b, high)[0].ravel(), minlength=size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["part", "n"])
 
+    total = nodes.select("a", "b").mapInArrow(run, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n")).toPandas()
+    out = np.ones(size, np.int64)
+    out[total["part"].to_numpy(np.int64)] = -(-total["n"].to_numpy(np.int64) // part_rows)
+    return out
+
+
+_ROW = "part int, i int, j int, block int, flip tinyint, node bigint, a bigint, b bigint"
 
-def _segments(t: pa.Table | pa.RecordBatch) -> np.ndarray:
-    a, b = (t.column(x).to_numpy() for x in "ab")
-    return np.stack([(x >> (WIDTH * s)) & ((1 << WIDTH) - 1) for x in (a, b) for s in range(3)], axis=1)
 
+def _spread(nodes: DataFrame, high: int, blocks: np.ndarray) -> DataFrame:
+    """Every fingerprint, once for each part that it needs, or once for each pair of blocks there."""
+    given = nodes.sparkSession.sparkContext.broadcast(blocks)
 
-def match(t: pa.Table, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the verified pairs (x < y) of one group, each pair in the first segment in which it meets."""
+    def run(batches):
+        blocks = given.value
+        for b in _pieces(batches):
+            part, flip = _rows_of(b, high)
+            row = np.repeat(np.arange(b.num_rows), part[0].size)
+            part, flip = part.ravel(), flip.ravel()
+            own = (mix(b.column("node").to_numpy().astype(U64))[row] % blocks[part].astype(U64)).astype(np.int64)
+            copies = blocks[part]
+            if (copies > 1).any():
+                at = np.repeat(np.arange(len(part)), copies)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, part, flip, own = row[at], part[at], flip[at], own[at]
+            else:
+                other = own
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x.astype(np.int32)) for x in (part, np.minimum(own, other), np.maximum(own, other), own)), pa.array(flip.astype(np.int8)), *(b.column(x).take(pa.array(row)) for x in ("node", "a", "b"))],
+                names=["part", "i", "j", "block", "flip", "node", "a", "b"],
+            )
+
+    return nodes.select("node", "a", "b").mapInArrow(run, _ROW)
+
+
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n things is connected with by the links (x, y)."""
+    label = np.arange(n)
+    while len(x):
+        p, q = label[x], label[y]
+        some = p != q
+        x, y, p, q = x[some], y[some], p[some], q[some]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def match(t: pa.Table, high: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, root in the spanning forest, and number of verified links, of all linked nodes of a part (or a pair of its blocks).
+
+    Each pair of the corpus counts in one part: the first segment in which it meets."""
     low = WIDTH - high
     part, flip = t.column("part").to_numpy(), t.column("flip").to_numpy().astype(np.int64)
-    node, a, b = (t.column(c).to_numpy() for c in ("node", "a", "b"))
+    ids, node = np.unique(t.column("node").to_numpy(), return_inverse=True)
+    a, b, block = (t.column(c).to_numpy() for c in ("a", "b", "block"))
+    crossed = t.column("i")[0].as_py() != t.column("j")[0].as_py()
     segments = _segments(t)
     s = int(part[0]) >> high
     own = segments[:, s]
@@ -127,42 +191,64 @@ def match(t: pa.Table, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.concatenate([np.where(flip < 0, own, own ^ (1 << np.maximum(flip, 0))), (own[centre][:, None] ^ (1 << np.arange(low))).ravel()])
     row = np.concatenate([np.arange(len(own)), np.repeat(centre, low)])
     turned = np.concatenate([flip, np.tile(np.arange(low), len(centre))])
-    order = np.argsort(key, kind="stable")
-    key, row, turned = key[order], row[order], turned[order]
-    # each entry meets those behind it that have the same key
-    end = np.searchsorted(key, key, "right")
-    ahead = end - np.arange(len(key)) - 1
-    found = [], []
-    block = np.append(0, np.cumsum(ahead)) // _PAIRS
-    cuts = np.unique(np.append(np.flatnonzero(np.diff(block)) + 1, [0, len(key)]))
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        n = ahead[i:j]
-        left = np.repeat(np.arange(i, j), n)
-        right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        f, g = turned[left], turned[right]
-        x, y = row[left], row[right]
+    # entries of one key side by side, keys with the most entries first
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    order = np.argsort(rank[which], kind="stable")
+    key, row, turned, size = key[order], row[order], turned[order], count[which][order]
+    x1, x2 = a[row], b[row]
+    label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fold() -> None:
+        nonlocal label
+        x, y = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+        kept.clear()
+        np.add.at(links, x, 1)
+        np.add.at(links, y, 1)
+        label = forest(len(ids), *(np.concatenate([c, d]) for c, d in ((x, np.arange(len(ids))), (y, label))))
+
+    upto = np.searchsorted(-size, -np.arange(1, size[0] + 1), "left") if len(size) else []  # entries whose key has more than d
+    held = 0
+    for d, m in enumerate(upto, 1):
+        if m <= d:
+            break
+        near = np.bitwise_count(x1[: m - d] ^ x1[d:m]) + np.bitwise_count(x2[: m - d] ^ x2[d:m]) <= most
+        near &= key[: m - d] == key[d:m]
+        left = np.flatnonzero(near)
+        if not len(left):
+            continue
+        x, y, f, g = row[left], row[left + d], turned[left], turned[left + d]
         swap = node[x] > node[y]
         x, y, f, g = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, g, f), np.where(swap, f, g)
         # of the keys on which a pair meets, one: equal segments, one bit apart, two bits apart
         one = (node[x] < node[y]) & ((f < g) | ((f < 0) & (g < 0)))
-        x, y = x[one], y[one]
-        near = np.bitwise_count(a[x] ^ a[y]).astype(np.int32) + np.bitwise_count(b[x] ^ b[y]) <= most
-        x, y = x[near], y[near]
-        before = (np.bitwise_count(segments[x, :s] ^ segments[y, :s]) <= 2).any(1)
-        found[0].append(node[x[~before]])
-        found[1].append(node[y[~before]])
-    return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-
-
-def pairs(nodes: DataFrame, most: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Verified pairs (x < y) of distinct fingerprints, each once."""
+        one &= ~(np.bitwise_count(segments[x, :s] ^ segments[y, :s]) <= 2).any(1)
+        if crossed:
+            one &= block[x] != block[y]
+        kept.append((node[x[one]], node[y[one]]))
+        held += len(kept[-1][0])
+        if held > _PAIRS:
+            fold()
+            held = 0
+    if kept:
+        fold()
+    some = np.flatnonzero(links)
+    return ids[some], ids[label[some]], links[some]
+
+
+def linked(nodes: DataFrame, most: int = DISTANCE, group_rows: int = GROUP_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(node, root, links) of every linked fingerprint in every part: links add up to the number of others within the distance, and (node, root) connects all that is linked."""
+    if most >= SEGMENTS * 3:
+        raise ValueError(f"the search is exact up to distance {SEGMENTS * 3 - 1}")
     high = min(WIDTH - 1, max(3, (max(1, nodes.count()) // group_rows).bit_length()))
 
     def run(t: pa.Table) -> pa.Table:
-        x, y = match(t.combine_chunks(), high, most)
-        return pa.table({"x": x, "y": y})
+        node, root, links = match(t.combine_chunks(), high, most)
+        return pa.table({"node": node, "root": root, "links": links})
 
-    return _spread(nodes, high).groupBy("part").applyInArrow(run, "x bigint, y bigint")
+    return _spread(nodes, high, _blocks(nodes, high, part_rows)).groupBy("part", "i", "j").applyInArrow(run, "node bigint, root bigint, links bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,32 +272,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "root")
 
 
-def _groups(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, root) of documents in groups of two or more; and all fingerprints."""
+def _members(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, root, links) of the texts in groups of two or more; and all fingerprints."""
     every = materialize(prints(docs), "prints")
-    nodes = every.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("docs"))
-    # a node's id is its smallest document; one document may have several fingerprints
+    text = F.struct("doc_id", "mark")
+    nodes = every.groupBy("a", "b").agg((F.min(text) != F.max(text)).alias("many")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
-    found = pairs(nodes, most)
-    same = nodes.where("docs > 1").join(every, ["a", "b"]).where("doc_id <> node").select(F.col("node").alias("x"), F.col("doc_id").alias("y"))
-    return components(found.union(same)), every
+    found = materialize(linked(nodes, most), "linked")
+    roots = components(found.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = nodes.join(roots.join(links, "node"), "node", "left").where("many or root is not null")
+    classes = materialize(classes.select("a", "b", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    return materialize(every.join(classes, ["a", "b"]).select("doc_id", "mark", "root", "links").distinct(), "members"), every
 
 
 def near_duplicates(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """A row for every document that is a near duplicate of another one that stays."""
-    groups, _ = _groups(docs, most)
-    size = groups.groupBy("root").agg(F.count("*").alias("group_size"))
-    return groups.join(size, "root").where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"), "group_size")
+    """A row for every document that is a near duplicate of another one that stays.
+
+    ``links`` counts the other fingerprints within the distance of its own (equal ones are one); ``group_size`` counts documents."""
+    members, _ = _members(docs, most)
+    size = members.groupBy("root").agg(F.min("doc_id").alias("duplicate_of"), F.countDistinct("doc_id").alias("group_size"))
+    one = members.groupBy("root", "doc_id").agg(F.max("links").alias("links"))
+    return one.join(size, "root").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of", "group_size", "links")
 
 
 def keep_one(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """The rows that stay, one document of each group, with all their columns."""
-    groups, every = _groups(docs, most)
-    fate = groups.where("node <> root").select(F.col("node").alias("__id"), F.lit(0).alias("__n"))
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
-    fate = materialize(fate.union(again).groupBy("__id").agg(F.min("__n").alias("__n")), "fate")
-    named = docs.where("doc_id is not null")
-    kept = named.join(fate, named["doc_id"] == fate["__id"], "left").where("__n is null or __n > 0")
-    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    first = kept.where("__n is not null").withColumn("__k", F.row_number().over(one)).where("__k = 1")
-    return kept.where("__n is null").select(*docs.columns).union(first.select(*docs.columns)).union(docs.where("doc_id is null"))
+    """The rows that stay, one text of each group, with all their columns."""
+    members, every = _members(docs, most)
+    text = F.struct("doc_id", "mark")
+    first = members.groupBy("root").agg(F.min(text).alias("first"))
+    gone = members.join(first, "root").where(text != F.col("first")).select("doc_id", "mark", F.lit(0).alias("n"))
+    again = every.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    fate = materialize(gone.union(again).groupBy("doc_id", "mark").agg(F.min("n").alias("n")), "fate")
+
+    names = docs.columns
+    i, m, n, k = (fresh(x, names) for x in ("id_of_row", "mark_of_row", "fate_of_row", "place_of_row"))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), m: F.xxhash64("text")})
+    kept = rows.join(fate.toDF(i, m, n), [i, m], "left").where(F.col(n).isNull() | (F.col(n) > 0))
+    sortable = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    one = Window.partitionBy(i, m).orderBy(F.xxhash64(*sortable))
+    single = kept.where(F.col(n).isNotNull()).withColumn(k, F.row_number().over(one)).where(F.col(k) == 1)
+    return kept.where(F.col(n).isNull()).select(*names).union(single.select(*names))

@@ -77,27 +77,69 @@ def test_simhash_finds_copies(frame, odd, prose):
     assert not set(kept) & {1, 3, 4, 5, 6, 7, 8, *range(100, 160)}
     left = simhash.keep_one(docs)
     assert left.columns == docs.columns
-    ids = left.toPandas().doc_id.dropna().astype(int).tolist()
-    assert len(ids) == len(set(ids)) and set(ids) == {d for d, _ in rows if d is not None} - set(kept)
+    ids = left.where("doc_id <> 1").toPandas().doc_id.dropna().astype(int).tolist()
+    assert left.where("doc_id = 1").count() == 1
+    assert len(ids) == len(set(ids)) and {*ids, 1} == {d for d, _ in rows if d is not None} - set(kept)
     assert left.where("doc_id is null").count() == 2
     assert simhash.near_duplicates(frame([])).count() == 0 and simhash.keep_one(frame([])).count() == 0
 
 
 def test_simhash_search_against_brute_force(spark):
+    """All pairs at every distance up to 20: link counts and groups, with parts whole and dealt into blocks."""
     r = np.random.default_rng(5)
-    base = r.integers(0, 2, (150, 126))
-    flips = [(r.random((150, 126)) < p) for p in (0.05, 0.1, 0.14)]
-    bits = np.unique(np.concatenate([base, *(base ^ f for f in flips)]), axis=0)
+    base = r.integers(0, 2, (120, 126))
+    flips = [(r.random((120, 126)) < p) for p in (0.05, 0.1, 0.14)]
+    exact = base.copy()
+    for i in range(120):  # exactly 17 to 21 bits, spread over all segments
+        exact[i, r.permutation(126)[: 17 + i % 5]] ^= 1
+    even = base[:20].copy()
+    even[:, [18 * s + k for s in range(7) for k in (1, 7, 12)][:20]] ^= 1  # three bits in six segments, two in the last
+    bits = np.unique(np.concatenate([base, *(base ^ f for f in flips), exact, even]), axis=0)
     pad = np.zeros((len(bits), 1), int)
     halves = [np.packbits(np.hstack([pad, bits[:, a : a + 63]]).astype(np.uint8), axis=1).view(">u8").astype(np.int64)[:, 0] for a in (0, 63)]
     nodes = spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(zip(*halves))], "a bigint, b bigint, node bigint")
-    dist = (bits[:, None, :] != bits[None, :, :]).sum(2)
-    near = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if dist[i, j] <= 20}
-    exact = {p for p in near if dist[p] <= 17}
-    for group_rows in (20_000, 10):
-        got = [tuple(x) for x in simhash.pairs(nodes, group_rows=group_rows).toPandas().values.tolist()]
-        assert len(got) == len(set(got)) and set(got) <= near
-        assert exact <= set(got) and len(got) >= 0.9 * len(near)
+    near = (bits[:, None, :] != bits[None, :, :]).sum(2) <= 20
+    np.fill_diagonal(near, False)
+    x, y = np.nonzero(near)
+    root = simhash.forest(len(bits), x, y)
+    for group_rows, part_rows in ((20_000, 400_000), (10, 400_000), (20_000, 60), (40, 50)):
+        got = simhash.linked(nodes, group_rows=group_rows, part_rows=part_rows).toPandas()
+        links = got.groupby("node").links.sum()
+        assert links.to_dict() == {i: n for i, n in enumerate(near.sum(1)) if n}
+        assert simhash.forest(len(bits), got.node.to_numpy(), got.root.to_numpy()).tolist() == root.tolist()
+
+
+def test_near_duplicates_against_brute_force(frame, odd, prose):
+    """Groups, representatives, sizes and links from all pairs of fingerprints."""
+    rows = [*odd, *((100 + i, prose(1000 + i, 60)) for i in range(30)), *((200 + i, near_copy(prose(1000 + i % 10, 60), i % 4, i)) for i in range(60)), (200, prose(5000, 60)), (300, prose(1000, 60)), (105, prose(1006, 60))]
+    named = sorted({(d, t) for d, t in rows if d is not None and t is not None})
+    a, b, ok = simhash.fingerprints(pa.array([t for _, t in named]))
+    prints = sorted({(int(p), int(q)) for p, q, o in zip(a, b, ok) if o})
+    near = [[i != j and (p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count() <= 20 for j, q in enumerate(prints)] for i, p in enumerate(prints)]
+    root = simhash.forest(len(prints), *np.nonzero(np.array(near)))
+    groups, links = defaultdict(set), {}
+    for (d, _), p, q, o in zip(named, a, b, ok):
+        if o:
+            k = prints.index((int(p), int(q)))
+            groups[root[k]].add(d)
+            links[root[k], d] = max(links.get((root[k], d), 0), sum(near[k]))
+    want = {(d, min(g), len(g), links[k, d]) for k, g in groups.items() for d in g if d != min(g)}
+    got = [tuple(r) for r in simhash.near_duplicates(frame(rows)).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 50
+
+
+def test_keep_one_by_text_and_clashing_names(spark, prose):
+    """An id with two texts loses neither; names of inner columns don't matter."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(1, 50)), (3, prose(3, 50)), (3, prose(3, 50)), (4, ""), (4, ""), (None, prose(1, 50))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for c in ("id_of_row", "MARK_of_row", "fate_of_row", "place_of_row", "__id", "__n", "root", "mark", "a", "b", "node", "n", "first"):
+        docs = docs.withColumn(c, F.lit("x"))
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(1, prose(1, 50)), (1, prose(2, 50)), (3, prose(3, 50)), (4, ""), (4, ""), (0, prose(1, 50))])
+    assert [(r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(docs).collect()] == [(2, 1)]
 
 
 def test_fingerprints_against_brute_force(prose):
