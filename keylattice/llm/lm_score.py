@@ -1,28 +1,35 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-A word is its *cell*: one of ``CELLS`` by hash.  The most frequent cells of the
-corpus have a class of their own; the others share ``SHARED`` classes.  A small
-network (numpy: embeddings of the ``SIDE`` classes on either side, one hidden
-layer, softmax) gives p(class | both sides); within a class, p(cell | class) is
-the cell's smoothed share of the whole corpus.  A document's score is the sum,
-over all its words, of log p(word | its neighbours), as if each were masked.
-
-What is gathered from the corpus covers every document: the counts of all
-cells, and the network, which every input partition trains on all words of all
-its documents.  In each of ``ROUNDS`` rounds the words whose turn it is, by hash
-of the context, are masked, so every word is the target once.  The partitions'
-networks start from the same weights and are averaged by their number of masked
-words in a distributed aggregation; the driver only gets the mean.  What is broadcast, the cells' log shares and
-the network, has a fixed size.
-
-Three kinds of narrow passes (count, train, score); the only shuffles carry
-counts and weights.
+A document's score is the sum, over all its words, of log p(word | the ``SIDE``
+words on either side), as if each were masked.  p has two factors:
+
+* p(leaf | both sides), from a small network in numpy: embeddings of the words
+  around, one hidden layer, and a softmax in two levels, ``CLASSES`` classes of
+  ``WIDTH`` leaves, both of which see the context.  The ``OWN`` most frequent
+  words are leaves of their own; any other word's leaf is its form (its last
+  three bytes, hashed to one of ``FORMS``);
+* p(word | form), a word's exact share of all words of its form.  It is 1 for
+  the words with a leaf of their own.
+
+All words of all documents are counted exactly, by 64-bit hash: the table of
+counts grows with the input and is never gathered.  What is broadcast has a
+fixed size: the ``KNOWN`` most frequent words (in whole bands of counts) with
+their leaves and shares, the forms' totals, and the network.  The counts of all
+other words reach the documents by a join; such words are rare, so none is hot.
+
+Every input partition trains the network on all words of all its documents.  In
+each of ``ROUNDS`` rounds the words whose turn it is, by hash of the context,
+are masked, so every word is the target once.  The partitions' networks start
+from the same weights and are averaged by their number of masked words in a
+distributed aggregation; the driver only gets the mean.
 
 Defined cases: a null or empty text has no word: its sum is 0 and its mean
-null; neighbours beyond the ends of a text are a padding class; a row with a
-null ``doc_id`` is counted, trained on and scored like any other; repeated rows
-count each; other columns are not read; an empty table gives an empty result.
-The mean of partition networks depends, slightly, on how the input is split.
+null; neighbours beyond the ends of a text are a padding word; a text of any
+length is counted, trained on and scored whole; a row with a null ``doc_id`` is
+treated like any other; repeated rows count each; words of equal counts are
+ordered by hash; other columns, whatever their names, are not read; an empty
+table gives an empty result.  Sums are rounded to 6 decimals.  The mean of
+partition networks depends, slightly, on how the input is split.
 """
 
 from __future__ import annotations
@@ -31,121 +38,201 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from keylattice.llm.textkit import U64, Words, mix, slices, words
+from keylattice.llm.shared import materialize
+from keylattice.llm.textkit import U64, Words, mix, signed, slices, words
 
-CELLS = 1 << 18
-CLASSES, SHARED = 128, 32
+CLASSES = WIDTH = 64
+LEAVES = CLASSES * WIDTH
+OWN = 48 * WIDTH
+FORMS = LEAVES - OWN
+#: Words that are broadcast with their counts, at most.
+KNOWN = 1 << 18
 SIDE, EMBED, HIDDEN = 2, 12, 32
-ROUNDS, BATCH, RATE = 2, 256, 0.03
+ROUNDS, BATCH, RATE = 2, 1024, 0.05
 SCHEMA = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
-_BLOCK = 4096
+_BLOCK = 1 << 14
+#: Distinct words that a task holds before it hands their counts on.
+_HELD = 1 << 21
 
 
-@dataclass
-class Vocabulary:
-    class_of: np.ndarray  # uint16 for each cell
-    log_share: np.ndarray  # float32: log p(cell | class)
-    log_class: np.ndarray  # float32: log p(class)
-
+def forms(w: Words) -> np.ndarray:
+    """Each word's form, from its last three bytes."""
+    size = w.ends - w.starts
+    tail = w.data[w.ends - 1].astype(U64)
+    for k in (2, 3):
+        tail |= np.where(size >= k, w.data[np.maximum(w.ends - k, 0)], 0).astype(U64) << U64(8 * k - 8)
+    return (mix(tail + U64(1)) % U64(FORMS)).astype(np.int64)
 
-def cells(w: Words) -> np.ndarray:
-    return (w.hashes >> U64(64 - 18)).astype(np.int64)
 
-
-def vocabulary(counts: np.ndarray) -> Vocabulary:
-    own = CLASSES - SHARED
-    class_of = (own + np.arange(CELLS) % SHARED).astype(np.uint16)
-    top = np.lexsort((np.arange(CELLS), -counts))[:own]
-    class_of[top] = np.arange(own)
-    smooth = counts + 0.5
-    of_class = np.bincount(class_of, smooth, minlength=CLASSES)
-    return Vocabulary(class_of, np.log(smooth / of_class[class_of]).astype(np.float32), np.log(of_class / of_class.sum()).astype(np.float32))
+@dataclass
+class Vocabulary:
+    words: np.ndarray  # signed hashes of the known words, ascending
+    leaf: np.ndarray  # uint16
+    log_share: np.ndarray  # log p(word | leaf)
+    log_form: np.ndarray  # log of the number of words of each form
+    log_class: np.ndarray
+    log_slot: np.ndarray  # log p(leaf | class), CLASSES by WIDTH
+
+
+def vocabulary(word: np.ndarray, form: np.ndarray, n: np.ndarray, form_total: np.ndarray) -> Vocabulary:
+    """From the known words with their counts, and the counts of all words of each form."""
+    order = np.argsort(word)
+    word, form, n = word[order], form[order], n[order]
+    top = np.lexsort((word, -n))[:OWN]
+    leaf = OWN + form
+    leaf[top] = np.arange(len(top))
+    rest = form_total.astype(float)
+    np.subtract.at(rest, form[top], n[top])
+    log_form = np.log(rest + 1)
+    share = np.log(n) - log_form[form]
+    share[top] = 0
+    mass = np.zeros(LEAVES)
+    mass[: len(top)], mass[OWN:] = n[top], rest
+    mass = (mass + 0.01).reshape(CLASSES, WIDTH)
+    of_class = mass.sum(1, keepdims=True)
+    return Vocabulary(word, leaf.astype(np.uint16), share, log_form, np.log(of_class / of_class.sum())[:, 0], np.log(mass / of_class))
 
 
 class Network:
     """Weights as one float32 vector, so that they can be averaged."""
 
-    SHAPES = ((CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((LEAVES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WIDTH), (CLASSES, WIDTH))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
+    #: Where the weights end that every batch changes.
+    SHARED = sum(int(np.prod(s)) for s in SHAPES[:5])
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32)
-        self.parts, at = [], 0
-        for s in self.SHAPES:
-            n = int(np.prod(s))
-            self.parts.append(self.flat[at : at + n].reshape(s))
-            at += n
+        self.parts = self.views(self.flat)
+
+    @classmethod
+    def views(cls, flat: np.ndarray) -> list[np.ndarray]:
+        cuts = np.cumsum([int(np.prod(s)) for s in cls.SHAPES])[:-1]
+        return [x.reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES)]
 
     @classmethod
-    def fresh(cls, log_class: np.ndarray, seed: int = 7) -> Network:
+    def fresh(cls, vocab: Vocabulary, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
         net = cls(np.zeros(cls.SIZE))
-        e, w, _, v, b = net.parts
+        e, w, _, v, b, u, c = net.parts
         e[:] = r.normal(0, 0.3, e.shape)
         w[:] = r.normal(0, 1 / np.sqrt(len(w)), w.shape)
-        v[:] = r.normal(0, 0.02, v.shape)
-        b[:] = log_class
+        v[:], u[:] = r.normal(0, 0.02, v.shape), r.normal(0, 0.02, u.shape)
+        b[:], c[:] = vocab.log_class, vocab.log_slot
         return net
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.parts[0][context].reshape(len(context), -1)
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.parts[0][around].reshape(len(around), -1)
         return x, np.tanh(x @ self.parts[1] + self.parts[2])
 
-    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(target class | context classes); the logits stay small, so no maximum is taken off."""
-        _, h = self.hidden(context)
-        z = h @ self.parts[3]
-        z += self.parts[4]
-        picked = z[np.arange(len(z)), target]
+    def log_p(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """log p(leaf | context); the logits stay small, so no maximum is taken off."""
+        order = np.argsort(leaf, kind="stable")
+        _, h = self.hidden(around[order])
+        of, slot = np.divmod(leaf[order].astype(np.int64), WIDTH)
+        *_, v, b, u, c = self.parts
+        z = h @ v
+        z += b
+        got = z[np.arange(len(z)), of]
         np.exp(z, out=z)
-        return picked - np.log(z.sum(1))
-
-    def train(self, context: np.ndarray, target: np.ndarray, state: np.ndarray, rate: float = RATE) -> None:
+        got -= np.log(z.sum(1))
+        for k, i, j in _segments(of):
+            z = h[i:j] @ u[k]
+            z += c[k]
+            got[i:j] += z[np.arange(j - i), slot[i:j]]
+            np.exp(z, out=z)
+            got[i:j] -= np.log(z.sum(1))
+        out = np.empty(len(got), np.float64)
+        out[order] = got
+        return out
+
+    def train(self, around: np.ndarray, leaf: np.ndarray, state: np.ndarray, rate: float = RATE) -> None:
         """One AdaGrad step."""
-        e, w, _, v, _ = self.parts
-        x, h = self.hidden(context)
-        z = h @ v + self.parts[4]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
-        dh = (p @ v.T) * (1 - h * h)
-        at = context.astype(np.int64).reshape(-1, 1) * EMBED + np.arange(EMBED)
-        de = np.bincount(at.ravel(), (dh @ w.T).ravel(), e.size).astype(np.float32)
-        g = np.concatenate([de, (x.T @ dh).ravel(), dh.sum(0), (h.T @ p).ravel(), p.sum(0)])
+        order = np.argsort(leaf, kind="stable")
+        around = around[order]
+        of, slot = np.divmod(leaf[order].astype(np.int64), WIDTH)
+        e, w, _, v, b, u, c = self.parts
+        *_, su, sc = self.views(state)
+        n = np.float32(len(of))
+        x, h = self.hidden(around)
+        p = _off(h @ v + b, of) / n
+        back = p @ v.T
+        for k, i, j in _segments(of):
+            d = _off(h[i:j] @ u[k] + c[k], slot[i:j]) / n
+            back[i:j] += d @ u[k].T
+            for a, s, g in ((u[k], su[k], h[i:j].T @ d), (c[k], sc[k], d.sum(0))):
+                s += g * g
+                a -= rate * g / (np.sqrt(s) + 1e-4)
+        back *= 1 - h * h
+        at = around.astype(np.int64).reshape(-1, 1) * EMBED + np.arange(EMBED)
+        de = np.bincount(at.ravel(), (back @ w.T).ravel(), e.size).astype(np.float32)
+        g = np.concatenate([de, (x.T @ back).ravel(), back.sum(0), (h.T @ p).ravel(), p.sum(0)])
+        state = state[: self.SHARED]
         state += g * g
-        self.flat -= (rate * g / (np.sqrt(state) + 1e-4)).astype(np.float32)
+        self.flat[: self.SHARED] -= rate * g / (np.sqrt(state) + 1e-4)
+
 
+def _segments(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of an ascending array's runs."""
+    cut = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+    return [(int(of[i]), i, j) for i, j in zip(cut, cut[1:])]
 
-def contexts(w: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, classes, and the classes around each word."""
-    c = cells(w)
-    k = vocab.class_of[c]
-    n = len(k)
+
+def _off(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Softmax, less one at the target."""
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(p)), target] -= 1
+    return p
+
+
+def contexts(w: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf, log p(word | leaf) without the counts of unknown words, whether unknown, and the leaves around, of each word."""
+    h, form = signed(w.hashes), forms(w)
+    at = np.minimum(np.searchsorted(vocab.words, h), max(len(vocab.words) - 1, 0))
+    known = vocab.words[at] == h if len(vocab.words) else np.zeros(len(h), bool)
+    leaf = (OWN + form).astype(np.uint16)
+    leaf[known] = vocab.leaf[at[known]]
+    share = -vocab.log_form[form]
+    share[known] = vocab.log_share[at[known]]
+    n = len(leaf)
     pos = np.arange(n) - np.repeat(w.first[:-1], w.counts)
     left = np.repeat(w.counts, w.counts) - pos
-    pad = np.concatenate([np.full(SIDE, CLASSES, np.uint16), k, np.full(SIDE, CLASSES, np.uint16)])
+    pad = np.concatenate([np.full(SIDE, LEAVES, np.uint16), leaf, np.full(SIDE, LEAVES, np.uint16)])
     around = np.empty((n, 2 * SIDE), np.uint16)
     for d in range(1, SIDE + 1):
-        around[:, SIDE - d] = np.where(pos >= d, pad[SIDE - d : SIDE - d + n], CLASSES)
-        around[:, SIDE + d - 1] = np.where(left > d, pad[SIDE + d : SIDE + d + n], CLASSES)
-    return c, k, around
+        around[:, SIDE - d] = np.where(pos >= d, pad[SIDE - d : SIDE - d + n], LEAVES)
+        around[:, SIDE + d - 1] = np.where(left > d, pad[SIDE + d : SIDE + d + n], LEAVES)
+    return leaf, share, ~known, around
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, form, n) of all distinct words."""
 
+    def add(parts):
+        word, form, n = (np.concatenate(x) for x in zip(*parts))
+        distinct, first, which = np.unique(word, return_index=True, return_inverse=True)
+        return distinct, form[first], np.bincount(which, n).astype(np.int64)
 
-def _counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
-        n = np.zeros(CELLS, np.int64)
+        parts, held = [], 0
         for b in slices(batches):
-            n += np.bincount(cells(words(b.column("text"))), minlength=CELLS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], names=["cell", "n"])
+            w = words(b.column("text"))
+            distinct, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
+            parts.append((signed(distinct), forms(w)[first], n))
+            held += len(distinct)
+            if held > _HELD:
+                parts = [add(parts)]
+                held = len(parts[0][0])
+                if held > _HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["word", "form", "n"])
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in add(parts)], names=["word", "form", "n"])
 
-    total = docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CELLS, np.int64)
-    counts[total["cell"].to_numpy()] = total["n"].to_numpy()
-    return counts
+    return docs.select("text").mapInArrow(run, "word bigint, form bigint, n bigint").groupBy("word", "form").agg(F.sum("n").alias("n"))
 
 
 def masked(w: Words, around: np.ndarray, turn: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -165,11 +252,11 @@ def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int, rounds:
         net, state, seen = Network(flat.copy()), np.zeros(Network.SIZE, np.float32), 0
         for b in slices(batches):
             w = words(b.column("text"))
-            _, k, around = contexts(w, vocab)
+            leaf, _, _, around = contexts(w, vocab)
             some = masked(w, around, turn, rounds)
             for i in range(0, len(some), BATCH):
                 at = some[i : i + BATCH]
-                net.train(around[at], k[at], state)
+                net.train(around[at], leaf[at], state)
             seen += len(some)
         yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], names=["seen", "weights"])
 
@@ -183,36 +270,57 @@ def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int, rounds:
     return Network(flat)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    vocab = vocabulary(_counts(docs))
-    net = Network.fresh(vocab.log_class)
+def _band() -> Column:
+    return F.floor(F.log2("n") * 16)
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> tuple[Vocabulary, Network, DataFrame | None]:
+    """The vocabulary, the network, and the counts of the words that are not broadcast, if there are any."""
+    counts = materialize(count_words(docs), "word_counts")
+    bands = counts.groupBy(_band().alias("band")).agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect()
+    fits = np.cumsum([r["words"] for r in bands]) <= known
+    least = min((r["band"] for r, ok in zip(bands, fits) if ok), default=1 << 20)
+    total = counts.groupBy("form").agg(F.sum("n").alias("n")).toPandas()
+    top = counts.where(_band() >= least).toPandas()
+    form_total = np.zeros(FORMS, np.int64)
+    form_total[total["form"].to_numpy()] = total["n"].to_numpy()
+    vocab = vocabulary(*(top[c].to_numpy(np.int64) for c in ("word", "form", "n")), form_total)
+    net = Network.fresh(vocab)
     for turn in range(rounds):
         net = _train(docs, vocab, net, turn, rounds)
-    return vocab, net
+    return vocab, net, None if all(fits) else counts.where(_band() < least).select("word", "n")
 
 
-def log_likelihoods(texts: pa.Array, vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed conditional log-probabilities of each text."""
+def log_likelihoods(texts: pa.Array, vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
+    """Number of words, and summed conditional log-probabilities but for the log counts of unknown words, of each text; the words, and which are unknown."""
     w = words(texts)
-    c, k, around = contexts(w, vocab)
-    lp = np.empty(len(c))
-    for i in range(0, len(c), _BLOCK):
-        lp[i : i + _BLOCK] = net.log_p(around[i : i + _BLOCK], k[i : i + _BLOCK])
-    lp += vocab.log_share[c]
-    total = np.append(0.0, np.cumsum(lp))
-    return w.counts, total[w.first[1:]] - total[w.first[:-1]]
+    leaf, lp, unknown, around = contexts(w, vocab)
+    for i in range(0, len(leaf), _BLOCK):
+        lp[i : i + _BLOCK] += net.log_p(around[i : i + _BLOCK], leaf[i : i + _BLOCK])
+    return w.counts, np.bincount(w.doc_of(), lp, minlength=len(w.counts)), w, unknown
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """Every document's pseudo-log-likelihood."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, rounds))
+    vocab, net, rare = fit(docs, rounds, known)
+    given = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches):
-        vocab, net = fitted.value
+        vocab, net = given.value
         for b in slices(batches):
-            n, s = log_likelihoods(b.column("text"), vocab, net)
-            mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.mapInArrow(run, SCHEMA)
+            n, s, w, unknown = log_likelihoods(b.column("text"), vocab, net)
+            at = np.flatnonzero(unknown)
+            cuts = pa.array(np.searchsorted(at, w.first), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s), pa.ListArray.from_arrays(cuts, pa.array(signed(w.hashes)[at]))], names=["doc_id", "n_words", "s", "rare"]
+            )
+
+    scored = docs.mapInArrow(run, "doc_id bigint, n_words bigint, s double, rare array<bigint>")
+    whole = F.round("s", 6)
+    if rare is not None:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        logs = scored.select("row", F.explode("rare").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        scored = scored.join(logs, "row", "left")
+        whole = F.round(F.col("s") + F.coalesce("more", F.lit(0.0)), 6)
+    return scored.select("doc_id", "n_words", whole.alias("log_likelihood"), F.when(F.col("n_words") > 0, F.round(whole / F.col("n_words"), 9)).alias("mean_log_likelihood"))

@@ -8,8 +8,10 @@ from keylattice.llm import lm_score, textkit as tk
 
 def test_every_word_is_a_target_once(prose):
     w = tk.words(pa.array([*(prose(i, 300) for i in range(20)), prose(1, 300), "", None, "one"]))
-    vocab = lm_score.vocabulary(np.bincount(lm_score.cells(w), minlength=lm_score.CELLS))
-    _, k, around = lm_score.contexts(w, vocab)
+    h, at, n = np.unique(tk.signed(w.hashes), return_index=True, return_counts=True)
+    form = lm_score.forms(w)[at]
+    vocab = lm_score.vocabulary(h, form, n, np.bincount(form, n, minlength=lm_score.FORMS))
+    k, _, _, around = lm_score.contexts(w, vocab)
     seen = np.zeros(len(k), int)
     for turn in range(lm_score.ROUNDS):
         seen[lm_score.masked(w, around, turn)] += 1
