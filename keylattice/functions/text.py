@@ -11,19 +11,29 @@ _INIT = "__init__ before beforeAll beforeEach constructor create init initialize
 _TEARDOWN = "__del__ after afterAll afterEach cleanup close destroy dispose free shutdown stop tearDown teardown".split()
 
 
-def word_pattern(words: str) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words.split())})(?![\p{{L}}\p{{N}}_])"
+_RULE_WORDS = sorted({w for _, _, words in vocab.BODY_WORDS for w in words.split()})
 
 
-def body_tokens(body: Column) -> Column:
-    """Tokens that the words of a body tell, in rule order, each once."""
-    hits = F.array(*(F.when(body.rlike(word_pattern(w)), t) for t, _, w in vocab.BODY_WORDS))
+def rule_words(body: Column) -> Column:
+    """The words of a text that some rule knows; the text is split once, whatever the number of rules."""
+    return F.array_intersect(F.split(body, r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, _RULE_WORDS)))
+
+
+def _rule(found: Column, words: str) -> Column:
+    return F.arrays_overlap(found, F.array(*map(F.lit, words.split())))
+
+
+def body_tokens(body: Column, found: Column | None = None) -> Column:
+    """Tokens that the words of a body tell, in rule order, each once; ``found`` is ``rule_words`` of it, where it is there."""
+    found = rule_words(body) if found is None else found
+    hits = F.array(*(F.when(_rule(found, w), t) for t, _, w in vocab.BODY_WORDS))
     return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
 
 
-def body_confidence(body: Column) -> Column:
+def body_confidence(body: Column, found: Column | None = None) -> Column:
     """The smallest confidence of the rules that hold; null where none does."""
-    return F.least(*(F.when(body.rlike(word_pattern(w)), c) for _, c, w in vocab.BODY_WORDS))
+    found = rule_words(body) if found is None else found
+    return F.least(*(F.when(_rule(found, w), c) for _, c, w in vocab.BODY_WORDS))
 
 
 def name_tokens(name: Column) -> Column:

@@ -92,26 +92,36 @@ def cluster_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(s, "source_id").join(t, "target_id").where("source_cluster <> target_cluster")
 
 
-def _mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    n = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_c"), column))
-    return n.withColumn("_r", rank).where("_r = 1").drop("_r", "_c")
+def _pair_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Directed cluster pairs with edge count, largest confidence, and counts by (key, lock, type): at most 42 of those a pair, so the list is bounded."""
+    keys = ["source_cluster", "target_cluster"]
+    fine = cluster_edges(edges, members).groupBy(*keys, "key_token", "lock_token", "edge_type").agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
+    kinds = F.collect_list(F.struct("key_token", "lock_token", "edge_type", "n")).alias("kinds")
+    return fine.groupBy(*keys).agg(F.sum("n").alias("edge_count"), F.round(F.max("c"), 4).alias("max_confidence"), kinds)
+
+
+def _mode_of(kinds: Column | str, value: Callable[[Column], Column]) -> Column:
+    """The value with the largest sum of counts; ties go to the smallest value."""
+    k = F.col(kinds) if isinstance(kinds, str) else kinds
+    total = lambda v: F.aggregate(F.filter(k, lambda x: value(x) == v), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    ranked = F.transform(F.array_distinct(F.transform(k, value)), lambda v: F.struct((-total(v)).alias("n"), v.alias("v")))
+    return F.array_min(ranked)["v"]
 
 
 def cluster_graph(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Directed cluster pairs: weight, largest confidence, most frequent key and lock (each by itself; ties alphabetical)."""
-    e = cluster_edges(edges, members)
-    keys = ["source_cluster", "target_cluster"]
-    base = e.groupBy(*keys).agg(F.count("*").alias("weight"), F.round(F.max("confidence"), 4).alias("max_confidence"))
-    return base.join(_mode(e, keys, "key_token"), keys).join(_mode(e, keys, "lock_token"), keys)
+    return _pair_counts(edges, members).select(
+        "source_cluster", "target_cluster", F.col("edge_count").alias("weight"), "max_confidence",
+        _mode_of("kinds", lambda x: x["key_token"]).alias("key_token"), _mode_of("kinds", lambda x: x["lock_token"]).alias("lock_token"),
+    )
 
 
 def seam_bundles(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Directed cluster pairs with edge count, largest confidence, most frequent type and pair."""
-    e = cluster_edges(edges, members).withColumn("pair", F.concat_ws("->", "key_token", "lock_token"))
-    keys = ["source_cluster", "target_cluster"]
-    base = e.groupBy(*keys).agg(F.count("*").alias("edge_count"), F.round(F.max("confidence"), 4).alias("max_confidence"))
-    return base.join(_mode(e, keys, "edge_type"), keys).join(_mode(e, keys, "pair"), keys)
+    return _pair_counts(edges, members).select(
+        "source_cluster", "target_cluster", "edge_count", "max_confidence", _mode_of("kinds", lambda x: x["edge_type"]).alias("edge_type"),
+        _mode_of("kinds", lambda x: F.concat_ws("->", x["key_token"], x["lock_token"])).alias("pair"),
+    )
 
 
 def cross_edge_names(edges: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
@@ -162,6 +172,8 @@ def replay(pdf: pd.DataFrame, cap: int) -> tuple[dict, list]:
             x = parent[x]
         return x
 
+    if len(pdf) and isinstance(pdf["ord"].iloc[0], dict):  # a struct sorts by its fields in turn
+        pdf = pdf.assign(ord=[tuple(o.values()) for o in pdf["ord"]])
     for r in pdf.sort_values(["phase", "ord"]).itertuples():
         x, y = find(r.a), find(r.b)
         if x == y:
@@ -202,10 +214,12 @@ def capped_components(unions: DataFrame, cap: int, save: Callable[[DataFrame], D
 
 
 def merge_sequence(members: DataFrame, edges: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """The ordered unions: islands (phase 0), then imports (1), then HARD edges in edge order (2)."""
-    isl = members.where("root <> unit_id").select(F.lit(0).alias("phase"), F.col("seq").alias("ord"), F.col("root").alias("a"), F.col("unit_id").alias("b"), F.lit(1.0).alias("confidence"))
-    order = F.row_number().over(Window.orderBy("source_id", "target_id", "key_token")).cast("long")
-    hard = edges.select(F.lit(2).alias("phase"), order.alias("ord"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), "confidence")
+    """The ordered unions: islands (phase 0), then imports (1), then HARD edges in edge order (2).
+
+    ``ord`` is a struct that sorts within a phase, so no row needs a number over the whole table."""
+    key = lambda n, *c: F.struct(n.cast("bigint").alias("n"), *(F.col(x).alias(f"k{i}") for i, x in enumerate(c)), *(F.lit("").alias(f"k{i}") for i in range(len(c), 3))).alias("ord")
+    isl = members.where("root <> unit_id").select(F.lit(0).alias("phase"), key(F.col("seq")), F.col("root").alias("a"), F.col("unit_id").alias("b"), F.lit(1.0).alias("confidence"))
+    hard = edges.select(F.lit(2).alias("phase"), key(F.lit(0), "source_id", "target_id", "key_token"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), "confidence")
     out = isl.unionByName(hard)
     return out if imports is None else out.unionByName(imports)
 
@@ -215,5 +229,5 @@ def import_merges(files: DataFrame, imports: DataFrame, cycles: DataFrame) -> Da
     first = files.groupBy("file").agg(F.min_by("unit_id", "seq").alias("unit_id"))
     open_ = imports.join(cycles.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(cycles.select(F.col("b").alias("src"), F.col("a").alias("dst"))), ["src", "dst"], "left_anti")
     s, t = first.toDF("src", "a"), first.toDF("dst", "b")
-    order = F.row_number().over(Window.orderBy("src", "dst")).cast("long")
+    order = F.struct(F.lit(0).cast("bigint").alias("n"), F.col("src").alias("k0"), F.col("dst").alias("k1"), F.lit("").alias("k2"))
     return open_.join(s, "src").join(t, "dst").select(F.lit(1).alias("phase"), order.alias("ord"), "a", "b", F.lit(1.0).alias("confidence"))

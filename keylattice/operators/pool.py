@@ -66,6 +66,11 @@ def stats(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("total"), F.count_if(~F.col("resolved")).alias("pending"), F.count_if("resolved").alias("resolved"), F.count_if("boundary").alias("boundary"))
 
 
+def token_counts(state: DataFrame, prefix: str) -> DataFrame:
+    """Pending rows by token, and those of them whose callee begins so."""
+    return state.where("not resolved").groupBy("token").agg(F.count("*").alias("total"), F.count_if(F.col("raw_callee").startswith(prefix)).alias("clients"))
+
+
 def forecast(state: DataFrame) -> DataFrame:
     """For each pending token: majority module, likely complement, boundary guess."""
     p = state.where("not resolved").withColumn("module", F.trim(F.replace(F.replace(F.element_at(F.split("source_id", "::"), 1), F.lit(".py"), F.lit("")), F.lit("/"), F.lit("."))))

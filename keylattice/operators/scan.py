@@ -209,12 +209,12 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan(files: DataFrame) -> DataFrame:
     """Units of files (file, text, language): Python by its syntax tree, others by header patterns and word rules."""
-    raw = files.where("language is not null").select("file", "text", "language").mapInPandas(_scan, SCHEMA)
-    body, name = F.col("body"), F.col("name")
+    raw = files.where("language is not null").select("file", "text", "language").mapInPandas(_scan, SCHEMA).withColumn("found", text.rule_words(F.col("body")))
+    body, name, found = F.col("body"), F.col("name"), F.col("found")
     none = F.array().cast("array<string>")
-    words = F.array_distinct(F.concat(text.name_tokens(name), F.when(text.has_params(F.col("header")), F.array(F.lit("INTAKE"))).otherwise(none), text.body_tokens(body)))
+    words = F.array_distinct(F.concat(text.name_tokens(name), F.when(text.has_params(F.col("header")), F.array(F.lit("INTAKE"))).otherwise(none), text.body_tokens(body, found)))
     tokens = F.coalesce("tokens", text.cap_tokens(words))
-    sure = F.coalesce("confidence", F.round(F.least(F.coalesce(text.body_confidence(body), F.lit(0.9)), F.when(F.size(text.name_tokens(name)) > 0, 0.85).otherwise(1.0)), 2))
+    sure = F.coalesce("confidence", F.round(F.least(F.coalesce(text.body_confidence(body, found), F.lit(0.9)), F.when(F.size(text.name_tokens(name)) > 0, 0.85).otherwise(1.0)), 2))
     unit = F.concat_ws("::", "file", "cls", "name")
     return raw.select(
         unit.alias("unit_id"), "file", "cls", "name", "line_start", "line_end", tokens.alias("tokens"), "class_context", sure.alias("confidence"),

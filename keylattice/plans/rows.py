@@ -337,8 +337,9 @@ _CONF_SQL = ", ".join(rf"CASE WHEN regexp_matches(text, '(?:^|[^\p{{L}}\p{{N}}_]
 @query(rf"""WITH b AS (SELECT doc_id, list_filter([{_WORDS_SQL}], lambda x: x IS NOT NULL) AS hits, least({_CONF_SQL})::DOUBLE AS confidence FROM documents),
  x AS (SELECT doc_id, confidence, list_filter({list(dict.fromkeys(t for t, _, _ in vocab.BODY_WORDS))}, lambda t: list_contains(hits, t)) AS kept FROM b) SELECT doc_id, array_to_string(kept, ',') AS tokens, confidence FROM x""")
 def body_pattern_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(text.body_tokens(F.col("text")), ",").alias("tokens"), text.body_confidence(F.col("text")).alias("confidence"))
+    d = table(spark, sf, "documents").select("doc_id", "text", text.rule_words(F.col("text")).alias("found"))
+    body, found = F.col("text"), F.col("found")
+    return d.select("doc_id", F.array_join(text.body_tokens(body, found), ",").alias("tokens"), text.body_confidence(body, found).alias("confidence"))
 
 
 _EXT = " ".join(rf"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p in vocab.EXTENSIONS)

@@ -12,6 +12,8 @@ from keylattice.sources.adapters import event_units, event_units_sql, table
 
 NOW = 1706745600.0  # 2024-02-01
 CUT = "2024-01-20"
+#: Units of a merged cluster in the two queries that replay capped merges.
+MERGE_CAP = 10
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,12 +116,6 @@ def keylock_spectral_edges(spark: SparkSession, sf: str) -> DataFrame:
     return spectral(spark, sf)[2]
 
 
-@query(f"WITH {_SPEC} SELECT source_id, token, raw_callee FROM susp")
-def suspended_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf)
-    return match.suspended(u, census.bands(u)).drop("seq")
-
-
 @query(f"""WITH {_SPEC} SELECT count(*) AS total, count(*) FILTER (edge_type = 'HARD') AS hard, count(*) FILTER (edge_type = 'PREDICTED') AS predicted,
  count(*) FILTER (edge_type = 'GHOST') AS ghost, count(DISTINCT (key_token, lock_token)) AS pair_kinds FROM edges""")
 def edge_type_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,34 +242,58 @@ def file_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.file_graph(match.edges(units(spark, sf)))
 
 
+def day_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' days as files: many lack the complement of a token they have."""
+    return event_units(table(spark, sf, "events"), by_day=True)
+
+
 def state(spark: SparkSession, sf: str) -> DataFrame:
-    """Suspended tokens of the first days as pool state, ingested when their event came."""
-    u = units(spark, sf)
+    """Suspended tokens of all users' days as pool state, ingested when their event came; an emitter calls a client."""
+    u = day_units(spark, sf)
     s = match.suspended(u, census.bands(u)).join(u.select("seq", "line_start"), "seq")
-    return s.select("source_id", "token", "raw_callee", F.col("line_start").cast("double").alias("ingested_at"), F.lit(False).alias("resolved"), F.lit(None).cast("double").alias("resolved_at"), F.lit(False).alias("boundary"))
+    callee = F.when(F.col("token") == "EMIT", F.concat(F.lit("client."), "source_id")).otherwise(F.col("raw_callee"))
+    return s.select("source_id", "token", callee.alias("raw_callee"), F.col("line_start").cast("double").alias("ingested_at"), F.lit(False).alias("resolved"), F.lit(None).cast("double").alias("resolved_at"), F.lit(False).alias("boundary"))
+
 
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """The next scan's units: no purchase is among them, so nothing persists."""
+    return event_units(table(spark, sf, "events").where("event_type <> 'purchase'"), by_day=True)
 
-_STATE = f"{_SPEC}, st AS (SELECT source_id, susp.token, raw_callee, line_start::DOUBLE AS ingested_at FROM susp JOIN u USING (seq))"
 
+_DAYS = _SPEC.replace(event_units_sql(), event_units_sql(by_day=True))
+_STATE = f"""{_DAYS}, st AS (SELECT source_id, susp.token, CASE WHEN susp.token = 'EMIT' THEN 'client.' ELSE '' END || raw_callee AS raw_callee, line_start::DOUBLE AS ingested_at FROM susp JOIN u USING (seq)),
+ nxt AS (SELECT * FROM u WHERE cls <> 'purchase')"""
 
-@query(f"""WITH {_STATE}, first AS (SELECT token AS other, arg_min(unit_id, seq) AS uid, arg_min(confidence, seq) AS conf FROM (SELECT seq, unit_id, confidence, unnest(tokens) AS token FROM u) GROUP BY 1)
+
+@query(f"WITH {_DAYS} SELECT source_id, token, raw_callee FROM susp")
+def suspended_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    u = day_units(spark, sf)
+    return match.suspended(u, census.bands(u)).drop("seq")
+
+
+@query(f"""WITH {_STATE}, first AS (SELECT token AS other, arg_min(unit_id, seq) AS uid, arg_min(confidence, seq) AS conf FROM (SELECT seq, unit_id, confidence, unnest(tokens) AS token FROM nxt) GROUP BY 1)
  SELECT CASE WHEN st.token = key THEN source_id ELSE uid END AS source_id, CASE WHEN st.token = key THEN uid ELSE source_id END AS target_id, key AS key_token, lock AS lock_token,
   round(least(0.75::DOUBLE, conf), 4) AS confidence, CASE WHEN least(0.75::DOUBLE, conf) >= 0.85 THEN 'HARD' WHEN least(0.75::DOUBLE, conf) >= 0.5 THEN 'PREDICTED' ELSE 'GHOST' END AS edge_type
  FROM st JOIN comp ON st.token = comp.token JOIN first USING (other)""")
 def resurrected_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return pool.resurrect(state(spark, sf), units(spark, sf))
+    return pool.resurrect(state(spark, sf), scanned(spark, sf))
 
 
-@query(f"""WITH {_STATE}, have AS (SELECT DISTINCT comp.token FROM comp JOIN (SELECT DISTINCT unnest(tokens) AS other FROM u) USING (other))
- SELECT count(*) AS total, count(*) FILTER (h.token IS NULL) AS pending, count(*) FILTER (h.token IS NOT NULL) AS resolved, 0::BIGINT AS boundary FROM st LEFT JOIN have h USING (token)""")
+_HAVE = "have AS (SELECT DISTINCT comp.token FROM comp JOIN (SELECT DISTINCT unnest(tokens) AS other FROM nxt) USING (other))"
+
+
+@query(f"""WITH {_STATE}, {_HAVE} SELECT count(*) AS total, count(*) FILTER (h.token IS NULL) AS pending, count(*) FILTER (h.token IS NOT NULL) AS resolved,
+ count(*) FILTER (h.token IS NULL AND ingested_at < {NOW} - {pool.AGE}) AS boundary FROM st LEFT JOIN have h USING (token)""")
 def pool_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return pool.stats(pool.resolve(state(spark, sf), units(spark, sf), NOW))
+    return pool.stats(pool.promote_boundaries(pool.resolve(state(spark, sf), scanned(spark, sf), NOW), NOW))
 
 
 @query(f"""WITH {_STATE} SELECT token, arg_min(raw_callee, row(ingested_at, source_id)) AS pattern, string_agg(source_id, ',' ORDER BY source_id) AS members, count(*) AS n,
- max({NOW} - ingested_at)::DOUBLE AS oldest_age_s, false AS is_boundary FROM st GROUP BY token""")
+ max({NOW} - ingested_at)::DOUBLE AS oldest_age_s, bool_or(ingested_at < {NOW} - {pool.AGE}) AS is_boundary FROM st WHERE ingested_at > {NOW} - 691200 OR token <> 'FETCH' GROUP BY token""")
 def odd_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return pool.odd_groups(state(spark, sf), NOW)
+    """Pending rows by token; reads older than eight days are left out, so not every group has a boundary."""
+    s = state(spark, sf).where((F.col("ingested_at") > NOW - 691200) | (F.col("token") != "FETCH"))
+    return pool.odd_groups(pool.promote_boundaries(s, NOW), NOW)
 
 
 @query(f"WITH {_STATE} SELECT source_id, token, ingested_at < {NOW} - {pool.AGE} AS boundary FROM st")
@@ -281,18 +301,24 @@ def boundary_promotions(spark: SparkSession, sf: str) -> DataFrame:
     return pool.promote_boundaries(state(spark, sf), NOW).select("source_id", "token", "boundary")
 
 
-@query(f"""WITH {_STATE}, new AS (SELECT DISTINCT unit_id AS source_id, 'ROUTE' AS token FROM u WHERE list_contains(tokens, 'ROUTE'))
+@query(f"""WITH {_STATE}, new AS (SELECT DISTINCT unit_id AS source_id, unnest(['FETCH', 'ROUTE']) AS token FROM u)
  SELECT source_id, token, false AS added FROM st UNION ALL SELECT source_id, token, true FROM new WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source_id = new.source_id AND st.token = new.token)""")
 def pool_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    new = units(spark, sf).where(F.array_contains("tokens", "ROUTE")).select(F.col("unit_id").alias("source_id"), F.lit("ROUTE").alias("token"), F.col("unit_id").alias("raw_callee"))
+    """Every unit reports two tokens; those that are pending already are not added again."""
+    new = day_units(spark, sf).select(F.col("unit_id").alias("source_id"), F.explode(F.array(F.lit("FETCH"), F.lit("ROUTE"))).alias("token"), F.col("unit_id").alias("raw_callee"))
     return pool.ingest(state(spark, sf), new, NOW).select("source_id", "token", (F.col("ingested_at") == NOW).alias("added"))
 
 
+@query(f"WITH {_STATE} SELECT token, count(*) AS total, count(*) FILTER (starts_with(raw_callee, 'client.')) AS clients FROM st GROUP BY token")
+def pool_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pool.token_counts(state(spark, sf), "client.")
+
+
 _LOCK = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.LIKELY_LOCK.items())
 
 
 @query(f"""WITH {_STATE}, v AS (SELECT token, replace(split_part(source_id, '::', 1), '/', '.') AS m, count(*) AS c FROM st GROUP BY ALL)
- SELECT token, n, predicted_module, CASE token {_LOCK} ELSE 'CONTRACT' END AS predicted_lock, false AS is_boundary, 0.55::DOUBLE AS confidence FROM (SELECT token, count(*) AS n FROM st GROUP BY token)
+ SELECT token, n, predicted_module, CASE token {_LOCK} ELSE 'CONTRACT' END AS predicted_lock, b AS is_boundary, CASE WHEN b THEN 0.4 ELSE 0.55 END::DOUBLE AS confidence FROM (SELECT token, count(*) AS n, bool_or(starts_with(raw_callee, 'client.')) AS b FROM st GROUP BY token)
  JOIN (SELECT token, m AS predicted_module FROM v QUALIFY row_number() OVER (PARTITION BY token ORDER BY c DESC, m) = 1) USING (token)""")
 def forecast_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     return pool.forecast(state(spark, sf))
@@ -323,13 +349,13 @@ def cap_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def capped_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Membership after the ordered, capped merge of islands and HARD edges."""
+    """Membership after the ordered, capped merge of islands and HARD edges; a cap of ten binds at every size."""
     from keylattice.plans.saved import save
 
     m, e, _ = clusters(spark, sf)
     m, e = save(m, "members"), save(e, "edges")
     unions = cluster.merge_sequence(m, match.same_file_or_mergeable(e))
-    return cluster.capped_components(unions, cluster.cap_of(m.count()), lambda d: save(d, "unions"))[0]
+    return cluster.capped_components(unions, MERGE_CAP, lambda d: save(d, "unions"))[0]
 
 
 @query()
@@ -340,7 +366,7 @@ def fuse_edges(spark: SparkSession, sf: str) -> DataFrame:
     m, e, _ = clusters(spark, sf)
     m, e = save(m, "members"), save(e, "edges")
     unions = cluster.merge_sequence(m, match.same_file_or_mergeable(e))
-    return cluster.capped_components(unions, cluster.LEAST, lambda d: save(d, "unions"))[1]
+    return cluster.capped_components(unions, MERGE_CAP, lambda d: save(d, "unions"))[1]
 
 
 @query()
