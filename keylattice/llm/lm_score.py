@@ -50,7 +50,8 @@ FORMS = LEAVES - OWN
 #: Words that are broadcast with their counts, at most.
 KNOWN = 1 << 18
 SIDE, EMBED, HIDDEN = 2, 12, 32
-ROUNDS, BATCH, RATE = 2, 1024, 0.05
+#: A step's words: a sixteenth of a slice's, but no more than BATCH.
+ROUNDS, BATCH, RATE = 2, 4096, 0.2
 SCHEMA = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
 _BLOCK = 1 << 14
 #: Distinct words that a task holds before it hands their counts on.
@@ -254,8 +255,9 @@ def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int, rounds:
             w = words(b.column("text"))
             leaf, _, _, around = contexts(w, vocab)
             some = masked(w, around, turn, rounds)
-            for i in range(0, len(some), BATCH):
-                at = some[i : i + BATCH]
+            step = min(BATCH, max(256, len(some) // 16))
+            for i in range(0, len(some), step):
+                at = some[i : i + step]
                 net.train(around[at], leaf[at], state)
             seen += len(some)
         yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], names=["seen", "weights"])
