@@ -47,3 +47,20 @@ def go_imports(files: DataFrame, module: str) -> DataFrame:
     quoted = F.regexp_extract_all("text", F.lit(r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"'), F.lit(1))
     m = files.where(F.col("file").endswith(".go")).select(F.col("file").alias("src"), F.explode(F.array_distinct(quoted)).alias("m"))
     return m.where(F.col("m").startswith(module + "/")).select("src", F.expr(f"substring(m, {len(module) + 2})").alias("package"))
+
+
+def resolve_dotted(file: Column, module: Column) -> Column:
+    """The path (without extension) of a dotted relative module, seen from a Python file: one dot is its folder, each further one goes up."""
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    folder = F.slice(F.split(file, "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split(file, "/")) - dots))
+    rest = F.filter(F.split(F.regexp_replace(module, r"^\.+", ""), r"\."), lambda x: x != "")
+    return F.array_join(F.concat(folder, rest), "/")
+
+
+def longest_prefix(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(module, file): for dotted modules, the file or package of the longest prefix that there is."""
+    parts = F.split("module", r"\.")
+    each = wanted.select("module").distinct().select("module", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
+    base = F.array_join(F.slice(F.split("module", r"\."), F.lit(1), F.col("n")), "/")
+    tried = each.select("module", F.posexplode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).alias("way", "file"), "n")
+    return tried.join(files.select("file"), "file").groupBy("module").agg(F.max_by("file", F.struct("n", -F.col("way"))).alias("file"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from keylattice.functions import ids, text
+from keylattice.functions.languages import LANGUAGES
+from keylattice.operators import tiers
 
 # how a body ends: b braces, i indentation, e the word end, p round brackets
 _HEADERS = [
@@ -202,13 +204,18 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     tokens, conf = list(dict.fromkeys(t for t, _ in found)), [c for _, c in found] or [0.5]
                     kind = "deterministic" if min(conf) >= 0.9 else "ai_classified" if max(conf) < 0.9 else "composite"
                     rows.append((file, cls, name, a, z, header, "", tokens, list(dict.fromkeys(context)), min(conf), kind))
+            elif language in LANGUAGES:
+                for cls, name, a, z, header, found, context in tiers.units(code, strip_noise(code) or "", language, _end):
+                    tokens, conf = list(dict.fromkeys(t for t, _ in found)), [c for _, c in found] or [0.5]
+                    kind = "deterministic" if min(conf) >= 0.9 else "ai_classified" if max(conf) < 0.9 else "composite"
+                    rows.append((file, cls, name, a, z, header, "", tokens, context, min(conf), kind))
             elif language != "python":
                 rows += [(file, *f, None, [], None, None) for f in functions(code)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Units of files (file, text, language): Python by its syntax tree, others by header patterns and word rules."""
+    """Units of files (file, text, language): Python by its syntax tree, languages with rules of their own by those, others by header patterns and word rules."""
     raw = files.where("language is not null").select("file", "text", "language").mapInPandas(_scan, SCHEMA).withColumn("found", text.rule_words(F.col("body")))
     body, name, found = F.col("body"), F.col("name"), F.col("found")
     none = F.array().cast("array<string>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keylattice.functions import ids, text, vocab
-from keylattice.operators import cluster, context, delta, evaluate, graph, index, scan, web
+from keylattice.operators import cluster, context, delta, evaluate, graph, index, web
 from keylattice.plans.registry import query
 from keylattice.plans.saved import save
 from keylattice.sources.adapters import event_units, event_units_sql, table
@@ -354,24 +354,6 @@ def curator_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return context.curator_candidates(s, spark.createDataFrame([("FETCH", 5)], "token string, n int"))
 
 
-@query()
-def strip_noise(spark: SparkSession, sf: str) -> DataFrame:
-    """Visible code length of pages, comments and literals blanked."""
-    def run(frames):
-        for f in frames:
-            yield f.assign(visible=[len("".join((scan.strip_noise(x) or "").split())) for x in f.pop("html")])
-
-    return table(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id bigint, visible bigint")
-
-
-@query()
-def generic_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Units of one generated source file for each part type."""
-    code = F.concat(F.lit("class "), F.initcap(F.lower("p_type")), F.lit(":\n    def load_"), F.regexp_replace(F.min("p_name"), " ", "_"), F.lit("(self, key):\n        return store.get(key)\n"))
-    f = table(spark, sf, "part").groupBy("p_type").agg(code.alias("text")).select(F.concat(F.lower("p_type"), F.lit(".py")).alias("file"), "text", F.lit("python").alias("language"))
-    return scan.scan(f)
-
-
 # --- web and conversations ------------------------------------------------------------------------------------------
 @query(r"""WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages) SELECT page_id, 'GET' AS method, path FROM r WHERE length(path) > 1""")
 def route_manifest(spark: SparkSession, sf: str) -> DataFrame:
