@@ -85,6 +85,25 @@ def cluster_type(size: Column, boundary: Column) -> Column:
     return F.when(boundary, "boundary").when(size < 3, "utility").when(size < 10, "component").when(size < 50, "module").otherwise("subsystem")
 
 
+def is_test_cluster(dominant: Column, name: Column, files: Column) -> Column:
+    """Whether a cluster is about tests: by its first token, its name, or all of its files."""
+    shaped = lambda c: F.lower(c).contains("test") | F.lower(c).contains("benchmark")
+    first = F.coalesce(F.try_element_at(dominant, F.lit(1)), F.lit(""))
+    return (first == "TEST") | shaped(name) | ((F.size(files) > 0) & F.forall(files, shaped))
+
+
+def token_distribution(units: DataFrame) -> DataFrame:
+    """How often each token is on a unit or its class, repeats counted."""
+    none = F.array().cast("array<string>")
+    return units.select(F.explode(F.concat(F.coalesce("tokens", none), F.coalesce("class_context", none))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def seam_units(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Units with an edge into another cluster."""
+    e = cluster_edges(edges, members)
+    return e.select(F.col("source_id").alias("unit_id")).union(e.select(F.col("target_id").alias("unit_id"))).distinct()
+
+
 def cluster_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges between different clusters, with both clusters."""
     m = members.select("unit_id", "root")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from keylattice.functions import ids, vocab
 
@@ -134,3 +134,62 @@ def curator_candidates(snippets: DataFrame, pool_tokens: DataFrame) -> DataFrame
     zone = F.col("token_name").isin(*vocab.EXTENSION_ZONE)
     action = F.when((c >= 0.8) & zone, "PROMOTE").when(c >= 0.6, "REVIEW").otherwise("WATCH")
     return g.select("token_name", "evidence", c.alias("confidence"), zone.alias("in_zone"), action.alias("action"), "examples").where("confidence >= 0.6")
+
+
+def twin_context(units: DataFrame, members: DataFrame, seams: DataFrame, tokens: list[str], task_confidence: float, top: int = 3, least: float = 0.25) -> DataFrame:
+    """What a task's tokens call for: its twins, how sure they are, where to begin, and the cluster most coupled with that.
+
+    One row a twin; none without a twin.  The anchor is the member of the best
+    twin's cluster that shares most with the task."""
+    from keylattice.operators.graph import behavioral_twins, gate_twins, seams_for
+
+    task = F.array(*map(F.lit, tokens))
+    twins = behavioral_twins(units, task, top, least)
+    order = Window.orderBy(F.desc("score"), F.desc("shared"), F.desc("confidence"), F.desc("unit_id"))  # over ``top`` rows
+    ranked = twins.withColumn("rank", F.row_number().over(order))
+    best = ranked.where("rank = 1").join(members.select("unit_id", "root"), "unit_id").select("root", F.col("score").alias("best"))
+    own = members.join(F.broadcast(best), "root")
+    shared = F.size(F.array_intersect(F.array_distinct("tokens"), task))
+    anchor = own.groupBy("root").agg(F.max_by("unit_id", F.struct(shared.alias("n"), "confidence", "unit_id")).alias("anchor_unit"))
+    near = seams_for(best, seams).join(F.broadcast(best), (F.col("source_cluster") == F.col("root")) | (F.col("target_cluster") == F.col("root")))
+    other = F.when(F.col("source_cluster") == F.col("root"), F.col("target_cluster")).otherwise(F.col("source_cluster"))
+    strongest = near.groupBy("root").agg(F.min_by(other, F.struct(-F.col("edge_count"), -F.col("max_confidence"), "source_cluster", "target_cluster")).alias("related_cluster"))
+    found = best.join(anchor, "root").join(strongest, "root", "left").crossJoin(ranked.agg(F.count("*").alias("n")))
+    gate = gate_twins(F.col("n"), F.lit(task_confidence), F.col("best"))
+    gated = found.select(gate.alias("gate"), F.when(gate == "none", "needs_more_context").otherwise("ready_for_delta_generation").alias("status"), "anchor_unit", "related_cluster")
+    return ranked.select("rank", "unit_id", "score", "shared").crossJoin(F.broadcast(gated))
+
+
+def _gain(found: Column, unresolved: Column, coverage: Column, ambiguity: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), 0.4 * unresolved + 0.4 * (1 - coverage) + 0.2 * ambiguity + F.when(found, 0.0).otherwise(0.25)), 3)
+
+
+def guided_steps(prompts: DataFrame) -> DataFrame:
+    """The staged context of prompts: which tiers are read, and the gain that is left.
+
+    prompts: prompt_id, scope, signals (of ``classify_prompt``), confidence,
+    focal_file, package_hint, and whether the focal file or symbol is found."""
+    has = lambda x: F.array_contains(F.split("signals", ","), x)
+    found, by_file = F.col("found"), F.col("focal_file") != ""
+    calls = has("call_graph")
+    pick = lambda c, a, b: F.when(c, a).otherwise(b)
+    first = _gain(found, pick(found, 0.0, 1.0), pick(found, 0.7, 0.2), pick(calls, 0.6, 0.35))
+    p = prompts.withColumn("g1", first)
+    package = (F.col("g1") >= 0.4) | F.col("scope").isin("package", "module", "repository")
+    second = _gain(found, F.lit(0.0), pick(found, 0.85, 0.6), pick(calls, 0.45, 0.25))
+    p = p.withColumn("package", package).withColumn("g2", F.when(F.col("package"), second).otherwise(F.col("g1")))
+    module = (F.col("g2") >= 0.65) | F.col("scope").isin("module", "repository") | calls | has("interfaces")
+    p = p.withColumn("module", module).withColumn("gain", F.when(F.col("module"), _gain(F.lit(True), F.lit(0.0), F.lit(0.92), F.lit(0.15))).otherwise(F.col("g2")))
+    whole = has("repo_scope") & ((F.col("confidence") >= 0.85) | ((F.col("scope") == "repository") & (F.col("confidence") >= 0.65)))
+    steps = F.concat_ws(
+        ",", F.when(by_file, "cluster_of_file").otherwise("search_symbols"), F.when(by_file & found, "boundary_edges"), F.when(F.col("package"), "architecture_summary"),
+        F.when(F.col("module"), "impact_neighbors"), F.when(F.col("module"), "high_coupling_seams"), F.when(whole, "repository_summary"),
+    )
+    return p.select("prompt_id", "scope", steps.alias("steps"), "gain")
+
+
+def search_or_prefix(exact: DataFrame, index: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
+    """Exact hits (unit_id) first, then those of tokens that begin so, each unit once, to the limit."""
+    hit = exact.select("unit_id").withColumn("way", F.lit(0))
+    rest = index.where(F.col("token").startswith(prefix.lower())).select("unit_id").withColumn("way", F.lit(1))
+    return hit.union(rest).groupBy("unit_id").agg(F.min("way").alias("way")).orderBy("way", "unit_id").limit(limit)

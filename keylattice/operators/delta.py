@@ -65,3 +65,22 @@ def partition_files(files: DataFrame, cache: DataFrame, changed: DataFrame | Non
 
 def purge_deleted(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(files.select("path"), "path", "left_anti")
+
+
+def merged_scan(cached: DataFrame, new: DataFrame, state: DataFrame) -> DataFrame:
+    """Units after an incremental scan: the cache's for files that are cached, the new ones for all others; files that are gone have none."""
+    fresh = state.where("state = 'cached'").select(F.col("path").alias("file"))
+    return cached.join(fresh, "file", "left_semi").select(*new.columns).unionByName(new.join(fresh, "file", "left_anti").select(*new.columns))
+
+
+def schema_gaps(need: DataFrame, have: DataFrame) -> DataFrame:
+    """(name, kind) that a schema needs and doesn't have."""
+    return need.select("name", "kind").distinct().join(have.select("name", "kind"), ["name", "kind"], "left_anti")
+
+
+def common_files(*clusterings: DataFrame) -> DataFrame:
+    """Files that all clusterings (file, ...) know."""
+    out = clusterings[0].select("file").distinct()
+    for c in clusterings[1:]:
+        out = out.join(c.select("file"), "file", "left_semi")
+    return out

@@ -98,3 +98,10 @@ def rubric(text: Column, checks: dict[str, str]) -> Column:
     """Share of a checklist of patterns that a text meets, in per cent."""
     hits = sum(F.when(text.rlike(p), 1).otherwise(0) for p in checks.values())
     return F.round(100 * hits / len(checks), 1)
+
+
+def risk_report(risks: DataFrame, top: int = 10) -> DataFrame:
+    """The ``top`` files by risk, each beside the overall score and level, which are the largest file's."""
+    overall = risks.agg(F.coalesce(F.max("score"), F.lit(0)).alias("overall"))
+    best = risks.orderBy(F.desc("score"), "file").limit(top).select("file", "score", "level")
+    return best.crossJoin(F.broadcast(overall)).withColumn("overall_level", risk_level(F.col("overall")))

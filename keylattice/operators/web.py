@@ -68,3 +68,22 @@ def telemetry_rollup(events: DataFrame, days: int = 7) -> DataFrame:
     """Events, distinct senders and kinds by window."""
     w = F.window("ts", f"{days} days")
     return events.groupBy(w.alias("w"), "kind").agg(F.count("*").alias("events"), F.countDistinct("sender").alias("senders")).select(F.col("w.start").alias("start"), "kind", "events", "senders")
+
+
+def histograms(events: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Counts of the values of several columns (by the histogram's name) in one pass; a missing value counts as ``?``, except for tools."""
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("histogram"), F.col(c).cast("string").alias("value")) for h, c in columns.items())))
+    rows = events.select(each.alias("x")).select("x.histogram", F.when((F.col("x.value") == "") | F.col("x.value").isNull(), F.when(F.col("x.histogram") != "tool", "?")).otherwise(F.col("x.value")).alias("value"))
+    return rows.where("value is not null").groupBy("histogram", "value").agg(F.count("*").alias("n"))
+
+
+def adoption_rollup(traffic: DataFrame, top: int = 10) -> DataFrame:
+    """Views and unique visitors by repository, and the ``top`` referrers and paths over all, as rows (section, name, views, uniques)."""
+    sums = lambda key, section: traffic.groupBy(F.col(key).alias("name")).agg(F.count("*").alias("views"), F.countDistinct("visitor").alias("uniques")).select(F.lit(section).alias("section"), "name", "views", "uniques")
+    best = lambda d: d.orderBy(F.desc("views"), "name").limit(top)
+    return sums("repo", "repository").union(best(sums("referrer", "referrer"))).union(best(sums("path", "path")))
+
+
+def page_totals(views: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Views, distinct paths and interactions, as one row."""
+    return views.agg(F.count("*").alias("views"), F.countDistinct("path").alias("paths")).crossJoin(interactions.agg(F.count("*").alias("interactions")))

@@ -314,11 +314,6 @@ def prompt_signals(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("prompt_id", has("module").alias("module"), has("interfaces").alias("interfaces"))
 
 
-@query()
-def classify_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return context.classify_prompt(table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")))
-
-
 @query("""SELECT event_id, round(greatest(0, least(1, 0.4::DOUBLE * (user_id / 150) + 0.4::DOUBLE * (1 - value / 500) + 0.2::DOUBLE * (user_id / 300) + CASE WHEN event_type = 'error' THEN 0.25::DOUBLE ELSE 0 END)), 3)::DOUBLE AS gain FROM events""")
 def confidence_gain(spark: SparkSession, sf: str) -> DataFrame:
     g = context.confidence_gain(F.col("user_id") / 150, F.col("value") / 500, F.col("user_id") / 300, F.col("event_type") == "error")

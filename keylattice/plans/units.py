@@ -47,15 +47,23 @@ def _edges_sql(flat: bool) -> str:
  tok AS (SELECT seq, unit_id, file, cls, dir3, confidence, token, pos FROM
           (SELECT seq, unit_id, file, cls, dir3, confidence, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM u) JOIN toks USING (token) WHERE edge_forming),
  placed AS (SELECT tok.*, {region}),
- bucket AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY band, region, token ORDER BY seq) <= CASE band WHEN 3 THEN {match.BUCKET_FILE} ELSE {match.BUCKET} END),
+ bucket0 AS (SELECT *, row_number() OVER (PARTITION BY band, region, token ORDER BY seq) AS k FROM placed QUALIFY k <= CASE band WHEN 3 THEN {match.BUCKET_FILE} ELSE {match.BUCKET} END),
+ bucket AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY band, region, token, cls ORDER BY seq) AS ck, count(*) OVER (PARTITION BY band, region, token, cls) AS cn, count(*) FILTER (cls IS NULL) OVER w AS mn FROM bucket0 WINDOW w AS (PARTITION BY band, region, token)),
  comp AS (SELECT key AS token, lock AS other, * FROM pairs UNION ALL SELECT lock, key, * FROM pairs),
- cand AS MATERIALIZED (SELECT a.seq AS a_seq, b.seq AS b_seq, a.pos AS a_pos, a.token AS a_token, a.band, c.pair_ord, c.key, c.lock,
-            CASE WHEN a.token = c.key THEN a.unit_id ELSE b.unit_id END AS source_id, CASE WHEN a.token = c.key THEN b.unit_id ELSE a.unit_id END AS target_id,
-            round(least(1.0, least(a.confidence, b.confidence) + CASE WHEN a.file = b.file THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN a.file = b.file AND a.cls = b.cls THEN 0.05::DOUBLE ELSE 0 END), 4) AS confidence
-          FROM placed a JOIN comp c ON a.token = c.token JOIN bucket b ON a.band = b.band AND a.region = b.region AND b.token = c.other AND a.seq <> b.seq
-          WHERE NOT c.class_scoped OR (a.file = b.file AND (a.cls IS NULL OR b.cls IS NULL OR a.cls = b.cls))),
+ seen AS (SELECT a.*, c.pair_ord, c.key, c.lock, c.class_scoped, b.seq AS bseq, b.unit_id AS bunit, b.file AS bfile, b.cls AS bcls, b.confidence AS bconf, b.token AS btoken,
+            CASE WHEN c.class_scoped AND a.cls IS NOT NULL THEN b.ck ELSE b.k END AS place,
+            CASE WHEN c.class_scoped AND a.cls IS NOT NULL THEN b.cn + CASE WHEN b.cls IS NOT NULL THEN b.mn ELSE 0 END ELSE b.n END AS partners
+          FROM placed a JOIN comp c ON a.token = c.token JOIN bucket b ON a.band = b.band AND a.region = b.region AND b.token = c.other AND a.seq <> b.seq),
+ reached AS (SELECT *, CASE WHEN band <> 3 THEN {match.FAN_OUT} WHEN class_scoped THEN CASE WHEN partners >= 1200 THEN 24 WHEN partners >= 800 THEN 32 WHEN partners >= 500 THEN 40 WHEN partners >= 300 THEN 56 ELSE {match.FAN_OUT} END
+              ELSE CASE WHEN partners >= 2000 THEN 32 WHEN partners >= 1200 THEN 48 WHEN partners >= 700 THEN 64 WHEN partners >= 400 THEN 80 ELSE {match.FAN_OUT} END END AS most
+          FROM seen WHERE band <> 3 OR place <= CASE WHEN class_scoped THEN CASE WHEN partners >= 260 THEN 120 WHEN partners >= 220 THEN 140 WHEN partners >= 180 THEN 160 WHEN partners >= 140 THEN 180 ELSE 220 END
+              ELSE CASE WHEN partners >= 260 THEN 140 WHEN partners >= 220 THEN 160 WHEN partners >= 180 THEN 180 WHEN partners >= 140 THEN 220 ELSE 260 END END),
+ cand AS MATERIALIZED (SELECT seq AS a_seq, bseq AS b_seq, pos AS a_pos, token AS a_token, band, most, pair_ord, key, lock,
+            CASE WHEN token = key THEN unit_id ELSE bunit END AS source_id, CASE WHEN token = key THEN bunit ELSE unit_id END AS target_id,
+            round(least(1.0, least(confidence, bconf) + CASE WHEN file = bfile THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN file = bfile AND cls = bcls THEN 0.05::DOUBLE ELSE 0 END), 4) AS confidence
+          FROM reached WHERE NOT class_scoped OR (file = bfile AND (cls IS NULL OR bcls IS NULL OR cls = bcls))),
  once AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY least(a_seq, b_seq), greatest(a_seq, b_seq), key, lock ORDER BY a_seq, a_pos, b_seq) = 1),
- fanned AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY a_seq, a_pos ORDER BY pair_ord, b_seq) <= {match.FAN_OUT}),
+ fanned AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY a_seq, a_pos ORDER BY pair_ord, b_seq) <= least({match.FAN_OUT}, most)),
  edges AS MATERIALIZED (SELECT source_id, target_id, key AS key_token, lock AS lock_token, confidence,
              CASE WHEN confidence >= 0.85 THEN 'HARD' WHEN confidence >= 0.5 THEN 'PREDICTED' ELSE 'GHOST' END AS edge_type, band::INT AS mask FROM fanned),
  susp AS (SELECT unit_id AS source_id, token, unit_id AS raw_callee, seq FROM tok t WHERE token IN {match.vocab.OUTWARD}
