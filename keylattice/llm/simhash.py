@@ -38,6 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keylattice.llm.shared import fresh, materialize
 from keylattice.llm.textkit import U64, mix, slices, words
@@ -52,6 +53,8 @@ GROUP_ROWS = 20_000
 PART_ROWS = 400_000
 #: Verified pairs folded at once; bounds memory only.
 _PAIRS = 1 << 20
+#: Bytes of names of texts that go, up to which they are broadcast, and bytes of one.
+BROADCAST_BYTES, FATE_BYTES = 128 << 20, 24
 #: Words whose votes are counted at once; bounds memory only.
 _BLOCK = 1 << 15
 
@@ -296,8 +299,11 @@ def near_duplicates(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
     return one.join(size, "root").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of", "group_size", "links")
 
 
-def keep_one(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """The rows that stay, one text of each group, with all their columns."""
+def keep_one(docs: DataFrame, most: int = DISTANCE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows that stay, one text of each group, with all their columns.
+
+    The names of the texts that go are broadcast while they fit
+    ``broadcast_bytes``; beyond that they are joined in a shuffle of all rows."""
     members, every = _members(docs, most)
     text = F.struct("doc_id", "mark")
     first = members.groupBy("root").agg(F.min(text).alias("first"))
@@ -308,8 +314,42 @@ def keep_one(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
     names = docs.columns
     i, m, n, k = (fresh(x, names) for x in ("id_of_row", "mark_of_row", "fate_of_row", "place_of_row"))
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), m: F.xxhash64("text")})
-    kept = rows.join(fate.toDF(i, m, n), [i, m], "left").where(F.col(n).isNull() | (F.col(n) > 0))
+    if fate.count() * FATE_BYTES <= broadcast_bytes:
+        told = _told(rows, i, m, n, fate)
+    else:
+        told = rows.join(fate.toDF(i, m, n), [i, m], "left").select(*names, i, m, n)
+    some = told.where(F.col(n).isNull()).select(*names)
+    if not fate.where("n > 0").limit(1).count():
+        return some
     sortable = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     one = Window.partitionBy(i, m).orderBy(F.xxhash64(*sortable))
-    single = kept.where(F.col(n).isNotNull()).withColumn(k, F.row_number().over(one)).where(F.col(k) == 1)
-    return kept.where(F.col(n).isNull()).select(*names).union(single.select(*names))
+    single = told.where(F.col(n) > 0).withColumn(k, F.row_number().over(one)).where(F.col(k) == 1)
+    return some.union(single.select(*names))
+
+
+def _told(rows: DataFrame, i: str, m: str, n: str, fate: DataFrame) -> DataFrame:
+    """The rows with their fate (null where there is none), without a shuffle: the fates are broadcast as arrays."""
+    t = fate.toPandas()
+    key = t["mark"].to_numpy(np.int64) ^ mix(t["doc_id"].to_numpy(np.int64).view(U64)).view(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, ids, what = key[order], t["doc_id"].to_numpy(np.int64)[order], t["n"].to_numpy(np.int64)[order]
+    longest = int(np.unique(key, return_counts=True)[1].max()) if len(key) else 0  # keys that collide stand side by side
+    given = rows.sparkSession.sparkContext.broadcast((key, ids, what, longest))
+    schema = StructType([*rows.schema.fields, StructField(n, LongType())])
+
+    def run(batches):
+        key, ids, what, longest = given.value
+        for b in batches:
+            own = b.column(i).fill_null(0).to_numpy()
+            k = b.column(m).to_numpy() ^ mix(own.view(U64)).view(np.int64)
+            at, out, known = np.searchsorted(key, k), np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+            for step in range(longest):
+                p = np.minimum(at + step, len(key) - 1)
+                hit = (key[p] == k) & (ids[p] == own)
+                out[hit], known = what[p[hit]], known | hit
+            known &= b.column(i).is_valid().to_numpy(zero_copy_only=False)
+            stays = ~known | (out > 0)
+            b = pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=~known)], names=[*b.schema.names, n])
+            yield b if stays.all() else b.filter(pa.array(stays))
+
+    return rows.mapInArrow(run, schema)

@@ -136,8 +136,9 @@ def test_keep_one_by_text_and_clashing_names(spark, prose):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for c in ("id_of_row", "MARK_of_row", "fate_of_row", "place_of_row", "__id", "__n", "root", "mark", "a", "b", "node", "n", "first"):
         docs = docs.withColumn(c, F.lit("x"))
+    joined = sorted(map(str, simhash.keep_one(docs, broadcast_bytes=0).collect()))
     left = simhash.keep_one(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == joined
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(1, prose(1, 50)), (1, prose(2, 50)), (3, prose(3, 50)), (4, ""), (4, ""), (0, prose(1, 50))])
     assert [(r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(docs).collect()] == [(2, 1)]
 
