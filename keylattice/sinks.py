@@ -63,6 +63,29 @@ def diff_markdown(diff: DataFrame, drift: DataFrame, churn: DataFrame, verdict:
     return "\n".join(lines)
 
 
+def diff_json(diff: DataFrame, drift: DataFrame, churn: DataFrame) -> DataFrame:
+    """The diff as rows (part, json): units, tokens and files, so that many tasks can write it."""
+    row = lambda d, part, *c: d.select(F.lit(part).alias("part"), F.to_json(F.struct(*c)).alias("json"))
+    return row(diff, "unit", "unit_id", "file", "status").union(row(drift, "token", "token", "gained", "lost")).union(row(churn, "file", "file", "changes"))
+
+
+def diff_text(diff: DataFrame, verdict: str, most: int = 15) -> str:
+    """The diff for a terminal: counts, and the first units of each status."""
+    count = {r["status"]: r["n"] for r in diff.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    lines = [f"drift: {verdict}"]
+    for status, sign in (("added", "+"), ("removed", "-"), ("changed", "~")):
+        lines.append(f"{status}: {count.get(status, 0)}")
+        lines += [f"  {sign} {r['unit_id']}" for r in diff.where(F.col("status") == status).orderBy("unit_id").limit(most).collect()]
+    return "\n".join(lines)
+
+
+def write_evaluation(metrics: DataFrame, clusterings: DataFrame, path: str) -> None:
+    """An evaluation's files: metrics as CSV and JSON, clusterings (method, file, cluster) as JSON by method."""
+    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    clusterings.write.mode("overwrite").partitionBy("method").json(f"{path}/clusterings")
+
+
 def narration(clusters: DataFrame, names: DataFrame, roles: DataFrame, most: int = 10) -> str:
     """The largest clusters with name, role and size, as Markdown."""
     c = clusters.join(names, "root").join(roles, "root").orderBy(F.desc("size"), "root").limit(most)

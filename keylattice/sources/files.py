@@ -115,6 +115,29 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of a SQLite file that every machine can reach, read by ranges of row ids, one a task; columns are taken by the schema's names."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    quoted = ", ".join('"' + n.replace('"', '""') + '"' for n in names)
+    source = '"' + table.replace('"', '""') + '"'
+
+    def run(frames):
+        import sqlite3
+
+        import pandas as pd
+
+        for pdf in frames:
+            for i in pdf["id"]:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+                    low, high = con.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {source}").fetchone()
+                    step = -(-(high - low + 1) // parts)
+                    cursor = con.execute(f"SELECT {quoted} FROM {source} WHERE rowid >= ? AND rowid < ?", (low + i * step, low + (i + 1) * step))
+                    while got := cursor.fetchmany(10_000):
+                        yield pd.DataFrame(got, columns=names)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """A written scan cache; of another version, or none, it is empty."""
     schema = "version int, path string, mtime double, hash string, language string, tokens array<string>"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keylattice.operators.pool import AGE
@@ -46,6 +47,26 @@ def pool_lifecycle(events: DataFrame, age_s: int = AGE, late: str = "1 hour") ->
     return keyed.applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def incremental_scan(files: DataFrame, out: str, checkpoint: str, scan: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Scan the files of a stream (file, text, language) as they come, and keep the last units of each file in ``out``.
+
+    The checkpoint plays the cache's part: a file that was read isn't read
+    again.  Each batch writes a version of its own, so a batch that is repeated
+    after a failure replaces itself; ``latest_units`` reads the result."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        scan(batch).write.mode("overwrite").parquet(f"{out}/units/batch={number}")
+        batch.select("file").distinct().write.mode("overwrite").parquet(f"{out}/files/batch={number}")
+
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_units(spark: SparkSession, out: str) -> DataFrame:
+    """The units of the last batch that read each file."""
+    last = spark.read.parquet(f"{out}/files").groupBy("file").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/units").join(last, ["file", "batch"], "left_semi")
+
+
 def session_islands(events: DataFrame, gap_s: str = "radar", late: str = "1 hour") -> DataFrame:
     """Islands of a stream (ts, file, radar seconds): sessions with a gap of each row's own length."""
     gap = F.concat(F.col(gap_s).cast("string"), F.lit(" seconds"))
