@@ -19,7 +19,8 @@ themselves.
 The model that is broadcast has ``BUCKETS`` numbers a language.  One pass over
 the documents, one over the pages; everything after that reads a narrow table.
 
-Defined cases: null or empty html has no text and declares nothing; a null or
+Defined cases: null or empty html has no text and declares nothing; a page or
+document of any length is read whole; a null or
 malformed url has no host and no suffix: that evidence is then absent; a row
 with a null ``page_id`` is judged, with a null id; repeated rows count each;
 documents with a null or empty ``lang`` are ignored; ties go to the
@@ -41,6 +42,8 @@ BUCKETS = 1 << 16
 TEXT_WEIGHT = 40.0
 #: Pages' worth of the wider level that a narrower one gets.
 STRENGTH = 4.0
+#: The last two labels of a host, or three where the last two are a country's second level, as in co.uk.
+DOMAIN = r"([^.]+\.(?:(?:ac|co|com|edu|go|gob|gouv|gov|gv|ltd|ne|net|nom|or|org|plc|sch)\.[a-z]{2}|[^.]+))$"
 SCHEMA = "page_id bigint, lang string, probability double, text_lang string, declared string, n_trigrams bigint"
 _HIDDEN = r"(?is)<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>|<!--.*?-->"
 
@@ -142,7 +145,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
     seen = own.mapInArrow(run, "page_id bigint, host string, declared string, n bigint, z array<double>, p array<double>")
-    seen = seen.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
+    seen = seen.withColumn("domain", F.regexp_extract("host", DOMAIN, 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
     seen = materialize(seen, "evidence")
 
     def counts(key: str) -> DataFrame:

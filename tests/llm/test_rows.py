@@ -401,6 +401,63 @@ def test_language_of_pages(spark, prose):
     assert {r["lang"] for r in langid.identify(pages, docs.where("false")).collect()} == {None}
 
 
+def test_language_against_brute_force(spark, prose):
+    """Trigram counts, tempered likelihoods, own-share-less tables, nested priors and the posterior, page by page from dictionaries."""
+    import math
+    import re
+
+    r = random.Random(6)
+    docs = [(f"{prose(i % 5, 40)}", ["en", "fr", "de"][i % 3]) for i in range(12)] + [(None, "en"), ("x", None)]
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "c.other.co.uk", "www.site.fr", "site.fr", "localhost", None]
+    pages = []
+    for i in range(40):
+        h = r.choice(hosts)
+        lang = r.choice([' lang="en"', ' lang="fr-FR"', ""])
+        pages.append((i, None if h is None else f"http://{h}/{i}", f"<html{lang}><p>{prose(i % 5, r.choice([0, 3, 30]))}</p></html>"))
+    pages.append((None, "http://site.fr/x", None))
+
+    def grams(text, hide=False):
+        return langid.trigrams(pa.array([text or ""]), hide)[0].tolist()
+
+    names = ["de", "en", "fr"]
+    counts = {x: {} for x in names}
+    for t, x in docs:
+        for g in grams(t) if x else []:
+            counts[x][g] = counts[x].get(g, 0) + 1
+    size = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    soft = lambda z: [math.exp(v - max(z)) / sum(math.exp(u - max(z)) for u in z) for v in z]
+    seen = []
+    for p, url, html in pages:
+        g = grams(langid.visible(pa.array([html]))[0].as_py(), hide=True)
+        z = [sum(math.log((counts[x].get(t, 0) + 0.5) / size[x]) for t in g) * min(1, langid.TEXT_WEIGHT / max(len(g), 1)) for x in names]
+        host = re.match(r"http://([^/]+)/", url)[1] if url else None
+        domain = None if host is None else "" if "." not in host else ".".join(host.split(".")[-3 if host.endswith(".co.uk") else -2 :])
+        suffix = None if host is None else host.split(".")[-1] if "." in host else ""
+        declared = (re.search(r'lang="(\w\w)', html or "") or [None, None])[1]
+        seen.append((p, z, soft(z), {"host": host, "domain": domain, "suffix": suffix, "declared": declared}, len(g)))
+    want = {}
+    for n, (p, z, own, keys, count) in enumerate(seen):
+        others = [x for m, x in enumerate(seen) if m != n]
+        rest = [sum(x[2][i] for x in others) for i in range(3)]
+        prior = [(v + 1) / sum(u + 1 for u in rest) for v in rest]
+        for k in ("domain", "host"):
+            if keys[k] is not None:
+                c = [sum(x[2][i] for x in others if x[3][k] == keys[k]) for i in range(3)]
+                prior = [(v + langid.STRENGTH * q) / (sum(c) + langid.STRENGTH) for v, q in zip(c, prior)]
+        score = [v + math.log(q) for v, q in zip(z, prior)]
+        for k in ("declared", "suffix"):
+            if keys[k] is not None:
+                kinds = len({x[3][k] for x in seen} - {None})
+                score = [s + math.log((sum(x[2][i] for x in others if x[3][k] == keys[k]) + 1 / kinds) / (rest[i] + 1)) for i, s in enumerate(score)]
+        q = soft(score)
+        want[p] = (names[max(range(3), key=lambda i: (round(q[i], 12), -i))], max(q), names[max(range(3), key=lambda i: (z[i], -i))] if count else None, count)
+    got = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "text string, lang string")).collect()}
+    assert set(got) == set(want)
+    for p, (lang, sure, text, n) in want.items():
+        assert got[p]["probability"] == pytest.approx(sure, rel=1e-6) and got[p]["n_trigrams"] == n
+        assert got[p]["lang"] == lang and got[p]["text_lang"] == text
+
+
 def test_very_long_texts(frame, prose):
     """A document far longer than a slice goes through every row operator whole."""
     from keylattice.llm import debruijn, decontam, packing, simhash
