@@ -5,27 +5,33 @@ repeated edge is a repeated passage of more than 50 words); an edge leads from
 its first K-1 words to its last K-1.  An edge is kept when it occurs at two
 source coordinates or more.
 
-1. One pass over the text.  A k-mer's *anchor* is the smallest hash among its
-   15-grams; neighbouring k-mers mostly share it, so the pass emits one row for
-   each run of k-mers with one anchor.  Equal k-mers have equal anchors.
-2. Rows meet by anchor in the one large shuffle.  Anchors that occur once are
-   dropped: none of their k-mers repeats.
+1. One pass over the text counts anchors.  A k-mer's *anchor* is the smallest
+   hash among its 15-grams; neighbouring k-mers mostly share it, so a text has one
+   row for each run of k-mers with one anchor.  Equal k-mers have equal anchors.
+2. A second pass emits the runs, which meet by anchor in the one large shuffle.
+   Anchors that occur once are dropped: none of their k-mers repeats.  The rows
+   of an anchor with more than ``HOT_ROWS`` of them (shared boilerplate) are dealt
+   to several tasks by their content.
 3. Runs with the same content and context are folded; their k-mers are counted,
-   and each learns whether it is entered from, or left to, more than one edge.
+   and each learns whether it is entered from, or left to, more than one edge:
+   in a window for ordinary anchors, by an aggregation with partial sums and a
+   join for hot ones.
 4. Nonbranching paths compact: inside runs, and then through a join of the
    folded runs with all their source coordinates, which glues runs that follow
    each other in a source (a unitig).  Paths are cut where the graph branches
    or a source ends.
-5. Source coordinates verify: a unitig's signature covers all its edges; it
-   must occur at two or more coordinates.  Unitigs that follow each other in a
-   document make one reported span.
+5. Source coordinates verify: a unitig's signature has its length and, of each
+   run, the anchor and the outer edges (127 bits a place); with these it must
+   occur at two or more coordinates.  Unitigs that follow each other in a document
+   make one reported span.
 
 A row of the result is a maximal stretch of a document in which every window of
 K words occurs elsewhere (or again in the document): words ``start_word`` to
 ``end_word`` (exclusive), the number of unitigs, their smallest and largest
 number of copies, and whether each of them is at its first coordinate.
 
-Defined cases: null, empty and short texts have no edge; rows with a null
+Defined cases: null, empty and short texts have no edge; a text of any length is
+read whole; rows with a null
 ``doc_id`` cannot be named and are left out; a row repeated with the same id
 and text is one source, the same id with another text is another source; other
 columns are left alone; ties between copies go to the smallest (doc_id,
@@ -45,6 +51,8 @@ K = 51
 ANCHOR = 15
 #: Bits of an edge's hash that it is told apart by, besides its 64-bit anchor.
 EDGE_BITS = 63
+#: Rows of an anchor beyond which several tasks share it.
+HOT_ROWS = 200_000
 SCHEMA = "doc_id bigint, start_word int, end_word int, unitigs int, min_copies bigint, max_copies bigint, first_copy boolean"
 _RUNS = "anchor bigint, content bigint, doc_id bigint, at bigint, edges array<bigint>"
 _PATHS = "anchor bigint, content bigint, paths array<struct<off:int,len:int,cut_in:boolean,cut_out:boolean,sig:bigint>>"
@@ -114,45 +122,97 @@ def _runs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _RUNS)
 
 
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, n): how many runs each anchor has."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in slices(batches):
+            held.append(np.unique(runs_of_edges(b.column("text"))[2], return_counts=True))
+            size += len(held[-1][0])
+            if size > _HELD:
+                yield _counted(held)
+                held, size = [], 0
+        if held:
+            yield _counted(held)
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    anchor, which = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([n for _, n in held]), minlength=len(anchor)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+
+#: Anchors that a task holds before it hands their counts on.
+_HELD = 1 << 20
+_KIND = pa.list_(pa.struct([("off", pa.int32()), ("len", pa.int32()), ("cut_in", pa.bool_()), ("cut_out", pa.bool_()), ("sig", pa.int64())]))
+
+
 def _paths(batches):
     """Cut each run's repeated edges where the graph branches."""
     for b in batches:
-        out = []
-        for r in b.select(["anchor", "flags"]).to_pylist():
-            paths, last = [], None
-            for f in sorted(r["flags"], key=lambda f: f["i"]):
-                if last and f["i"] == last[0] + last[1] and not last[3] and not f["cut_in"]:
-                    last[1], last[3] = last[1] + 1, f["cut_out"]
-                    last[5] = f["edge"]
-                else:
-                    paths.append(last := [f["i"], 1, f["cut_in"], f["cut_out"], f["edge"], f["edge"]])
-            out.append([
-                {"off": o, "len": n, "cut_in": x, "cut_out": y, "sig": hash((r["anchor"], n, p, q)) & (2**62 - 1)} for o, n, x, y, p, q in paths
-            ])
-        kind = pa.list_(pa.struct([("off", pa.int32()), ("len", pa.int32()), ("cut_in", pa.bool_()), ("cut_out", pa.bool_()), ("sig", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("content"), pa.array(out, kind)], names=["anchor", "content", "paths"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
+        flags = b.column("flags")
+        flat = flags.flatten()
+        row = np.repeat(np.arange(b.num_rows), np.diff(flags.offsets.to_numpy()))
+        get = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+        order = np.lexsort((get("i"), row))
+        row, i, edge, cut_in, cut_out = (x[order] for x in (row, get("i"), get("edge"), get("cut_in").astype(bool), get("cut_out").astype(bool)))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1) | cut_out[:-1] | cut_in[1:]
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
+        own, size = row[begin], last - begin + 1
+        parts = [b.column("anchor").to_numpy()[own], size, edge[begin], edge[last]]
+        sig = np.zeros(len(begin), U64)
+        for x in parts:
+            sig = mix(sig * U64(0x9E3779B97F4A7C15) + x.astype(np.int64).view(U64) + U64(1))
+        paths = pa.StructArray.from_arrays(
+            [pa.array(i[begin], pa.int32()), pa.array(size, pa.int32()), pa.array(cut_in[begin]), pa.array(cut_out[last]), pa.array(signed(sig >> U64(1)))], names=["off", "len", "cut_in", "cut_out", "sig"]
+        )
+        cuts = pa.array(np.searchsorted(own, np.arange(b.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("content"), pa.ListArray.from_arrays(cuts, paths).cast(_KIND)], names=["anchor", "content", "paths"])
+
+
+def _known(folded: DataFrame, hot: bool) -> DataFrame:
+    """The repeated edges of folded runs, and whether the graph branches in front of and behind them."""
+    each = folded.select("anchor", "content", "c", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 3)).alias("i"))
+    each = each.selectExpr("anchor", "content", "c", "i", "edges[i] before", "edges[i + 1] edge", "edges[i + 2] after")
+    n, cut_in, cut_out = F.sum("c"), lambda w: w(F.min("before")) != w(F.max("before")), lambda w: w(F.min("after")) != w(F.max("after"))
+    if hot:
+        plain = lambda c: c
+        stats = each.groupBy("anchor", "edge").agg(n.alias("n"), cut_in(plain).alias("cut_in"), cut_out(plain).alias("cut_out")).where("n > 1")
+        return each.select("anchor", "content", "i", "edge").join(stats, ["anchor", "edge"])
+    same = Window.partitionBy("anchor", "edge")
+    over = lambda c: c.over(same)
+    return each.select("anchor", "content", "i", "edge", n.over(same).alias("n"), cut_in(over).alias("cut_in"), cut_out(over).alias("cut_out")).where("n > 1")
+
+
+def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every long repeated span of every document."""
-    once = Window.partitionBy("anchor", "content", "doc_id", "at").orderBy("at")
+    # anchors beyond the bound: at most one for each ``hot_rows`` rows
+    hot = materialize(_anchors(docs).where(F.col("n") > hot_rows).select("anchor", F.ceil(F.col("n") / hot_rows).alias("shares")), "hot")
+    dealt = hot.limit(1).count() > 0
+    runs = _runs(docs)
+    if dealt:
+        runs = runs.join(F.broadcast(hot), "anchor", "left").withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.col("content"), F.col("shares"))).otherwise(F.lit(-1)).cast("int")).drop("shares")
+    else:
+        runs = runs.withColumn("share", F.lit(-1))
+    at = ["anchor", "share"] if dealt else ["anchor"]
+    once = Window.partitionBy(*at, "content", "doc_id", "at").orderBy("at")
     met = (
-        _runs(docs).repartition("anchor")
+        runs.repartition(*at)
         .withColumn("_n", F.row_number().over(once)).where("_n = 1")
-        .withColumn("_c", F.count("*").over(Window.partitionBy("anchor"))).where("_c > 1")
+        .withColumn("_c", F.count("*").over(Window.partitionBy(*at))).where("_c > 1 or share >= 0")
         .drop("_n", "_c")
     )
     met = materialize(met, "met")
 
-    folded = met.repartition("anchor").groupBy("anchor", "content").agg(F.count("*").alias("c"), F.first("edges").alias("edges"))
-    each = folded.select("anchor", "content", "c", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 3)).alias("i"))
-    each = each.selectExpr("anchor", "content", "c", "i", "edges[i] before", "edges[i + 1] edge", "edges[i + 2] after")
-    same = Window.partitionBy("anchor", "edge")
-    known = each.select(
-        "anchor", "content", "i", "edge", F.sum("c").over(same).alias("n"),
-        (F.min("before").over(same) != F.max("before").over(same)).alias("cut_in"),
-        (F.min("after").over(same) != F.max("after").over(same)).alias("cut_out"),
-    ).where("n > 1")
+    fold = lambda d: d.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.first("edges").alias("edges"))
+    known = _known(fold(met.where("share < 0").repartition("anchor")), hot=False).select("anchor", "content", "i", "edge", "cut_in", "cut_out")
+    if dealt:
+        known = known.union(_known(fold(met.where("share >= 0")), hot=True).select("anchor", "content", "i", "edge", "cut_in", "cut_out"))
     compact = known.groupBy("anchor", "content").agg(F.collect_list(F.struct("i", "edge", "cut_in", "cut_out")).alias("flags")).mapInArrow(_paths, _PATHS)
 
     placed = met.select("anchor", "content", "doc_id", "at").join(compact, ["anchor", "content"])
@@ -172,11 +232,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     unitigs = glued.groupBy("doc_id", "mark", "span", "path").agg(
         F.min("start").alias("start"), F.sum("len").alias("len"), F.expr("bit_xor(xxhash64(sig, start - `from`))").alias("sig")
     )
-    sources = Window.partitionBy("sig", "len")
-    verified = unitigs.select(
-        "doc_id", "mark", "span", "start", "len", F.count("*").over(sources).alias("copies"),
-        (F.min(F.struct("doc_id", "start", "mark")).over(sources) == F.struct("doc_id", "start", "mark")).alias("first"),
-    ).where("copies > 1")
+    unitigs = materialize(unitigs, "unitigs")
+    # partial counts first, then a join: a unitig that a third of all documents share gathers in no task
+    where = F.struct("doc_id", "start", "mark")
+    sources = unitigs.groupBy("sig", "len").agg(F.count("*").alias("copies"), F.min(where).alias("lead")).where("copies > 1")
+    verified = unitigs.join(sources, ["sig", "len"]).select("doc_id", "mark", "span", "start", "len", "copies", (where == F.col("lead")).alias("first"))
     return verified.groupBy("doc_id", "mark", "span").agg(
         F.min("start").cast("int").alias("start_word"), F.max(F.col("start") + F.col("len") + (K - 1)).cast("int").alias("end_word"),
         F.count("*").cast("int").alias("unitigs"), F.min("copies").alias("min_copies"), F.max("copies").alias("max_copies"), F.bool_and("first").alias("first_copy"),

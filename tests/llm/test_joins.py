@@ -194,6 +194,10 @@ def test_repeated_spans(spark, frame, odd, prose):
     got = against_sql(debruijn.repeated_spans(docs), debruijn.SQL, documents=docs.select("doc_id", "text"))
     ids = set(got.doc_id)
     assert {100, 101, 102, 103, 104, 105, 107, 108, 109, 110} <= ids and not ids & {1, 3, 4, 5, 6, 7, 8, 106}
+    # the way of hot anchors gives the same rows
+    for hot_rows in (2, 5):
+        again = debruijn.repeated_spans(docs, hot_rows=hot_rows).toPandas()
+        assert sorted(map(str, again[list(got.columns)].values.tolist())) == sorted(map(str, got.values.tolist()))
     own = got[got.doc_id == 100].iloc[0]
     assert (own.start_word, own.end_word) == (70, 130)
     assert debruijn.repeated_spans(frame([])).count() == 0
