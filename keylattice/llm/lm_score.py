@@ -50,8 +50,8 @@ FORMS = LEAVES - OWN
 #: Words that are broadcast with their counts, at most.
 KNOWN = 1 << 18
 SIDE, EMBED, HIDDEN = 2, 12, 32
-#: A step's words: a sixteenth of a slice's, but no more than BATCH.
-ROUNDS, BATCH, RATE = 2, 4096, 0.2
+#: A step's words: an eighth of a slice's, but no more than BATCH.
+ROUNDS, BATCH, RATE = 2, 8192, 0.2
 SCHEMA = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
 _BLOCK = 1 << 14
 #: Distinct words that a task holds before it hands their counts on.
@@ -101,8 +101,6 @@ class Network:
 
     SHAPES = ((LEAVES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WIDTH), (CLASSES, WIDTH))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
-    #: Where the weights end that every batch changes.
-    SHARED = sum(int(np.prod(s)) for s in SHAPES[:5])
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32)
@@ -155,24 +153,34 @@ class Network:
         around = around[order]
         of, slot = np.divmod(leaf[order].astype(np.int64), WIDTH)
         e, w, _, v, b, u, c = self.parts
-        *_, su, sc = self.views(state)
-        n = np.float32(len(of))
+        g = np.zeros(self.SIZE, np.float32)
+        ge, gw, gh, gv, gb, gu, gc = self.views(g)
+        n = np.float32(1 / len(of))
         x, h = self.hidden(around)
-        p = _off(h @ v + b, of) / n
+        z = h @ v
+        z += b
+        p = _off(z, of, n)
         back = p @ v.T
         for k, i, j in _segments(of):
-            d = _off(h[i:j] @ u[k] + c[k], slot[i:j]) / n
+            z = h[i:j] @ u[k]
+            z += c[k]
+            d = _off(z, slot[i:j], n)
             back[i:j] += d @ u[k].T
-            for a, s, g in ((u[k], su[k], h[i:j].T @ d), (c[k], sc[k], d.sum(0))):
-                s += g * g
-                a -= rate * g / (np.sqrt(s) + 1e-4)
+            np.matmul(h[i:j].T, d, out=gu[k])
+            d.sum(0, out=gc[k])
         back *= 1 - h * h
         at = around.astype(np.int64).reshape(-1, 1) * EMBED + np.arange(EMBED)
-        de = np.bincount(at.ravel(), (back @ w.T).ravel(), e.size).astype(np.float32)
-        g = np.concatenate([de, (x.T @ back).ravel(), back.sum(0), (h.T @ p).ravel(), p.sum(0)])
-        state = state[: self.SHARED]
+        ge.ravel()[:] = np.bincount(at.ravel(), (back @ w.T).ravel(), e.size)
+        np.matmul(x.T, back, out=gw)
+        back.sum(0, out=gh)
+        np.matmul(h.T, p, out=gv)
+        p.sum(0, out=gb)
         state += g * g
-        self.flat[: self.SHARED] -= rate * g / (np.sqrt(state) + 1e-4)
+        g *= rate
+        root = np.sqrt(state)
+        root += 1e-4
+        g /= root
+        self.flat -= g
 
 
 def _segments(of: np.ndarray) -> list[tuple[int, int, int]]:
@@ -181,12 +189,13 @@ def _segments(of: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(of[i]), i, j) for i, j in zip(cut, cut[1:])]
 
 
-def _off(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Softmax, less one at the target."""
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), target] -= 1
-    return p
+def _off(z: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+    """Softmax, less one at the target, times n; in place.  The bound only keeps a runaway weight finite."""
+    np.minimum(z, 80, out=z)
+    np.exp(z, out=z)
+    z *= n / z.sum(1, keepdims=True)
+    z[np.arange(len(z)), target] -= n
+    return z
 
 
 def contexts(w: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +264,7 @@ def _train(docs: DataFrame, vocab: Vocabulary, net: Network, turn: int, rounds:
             w = words(b.column("text"))
             leaf, _, _, around = contexts(w, vocab)
             some = masked(w, around, turn, rounds)
-            step = min(BATCH, max(256, len(some) // 16))
+            step = min(BATCH, max(256, len(some) // 8))
             for i in range(0, len(some), step):
                 at = some[i : i + step]
                 net.train(around[at], leaf[at], state)
