@@ -26,8 +26,11 @@ ignored; rows with a null ``doc_id`` or items with a null ``item_id`` cannot be
 named and are ignored by ``find_contamination`` (``drop_contaminated`` keeps
 such documents); rows that share a ``doc_id`` are reported once, with the best
 window of any; items that share an ``item_id`` count as one item with the
-largest text; ties between windows go to the earliest; other columns are left
-alone; empty tables give an empty result.
+largest text; a text of any length is searched whole; n-grams of equal
+document frequency are ranked by hash, and ties between windows go to the
+earliest; repeated rows are searched once by text; other columns, whatever their
+names, are left alone; empty tables give an empty result; an id that isn't a
+number fails the cast to bigint.
 """
 
 from __future__ import annotations

@@ -11,9 +11,11 @@ It is one narrow pass (no shuffle): a bucket is a column of the result, and
 ``write_buckets`` lays the buckets out as folders.
 
 Defined cases: a null or empty text has no tokens and gives no piece; a row
-with a null ``doc_id`` is packed, with a null id; repeated rows are packed each
-on its own; other columns of the input are neither read nor passed on; an empty
-table gives an empty result.
+with a null ``doc_id`` is packed, with a null id; a text of any length is packed
+whole, in as many longest pieces as it needs; pieces of equal length keep the
+order of the text; repeated rows are packed each on its own; other columns of
+the input, whatever their names, are neither read nor passed on; an empty table
+gives an empty result; an id that isn't a number fails the cast to bigint.
 """
 
 from __future__ import annotations

@@ -19,8 +19,11 @@ written file.  The index is a Parquet table (doc_id, file, start, size,
 n_tokens): a reader shuffles or shards the index and seeks.
 
 Defined cases: a null or empty text is a record of no tokens; a null ``doc_id``
-is stored as -1 and is null in the index; repeated rows are stored each on its
-own; other columns are not read; an empty table gives an empty index.
+is stored as -1 and is null in the index; a text of any length is one record;
+repeated rows are stored each on its own, and so are rows that share an id;
+records keep the order of their rows within a file; other columns, whatever
+their names, are not read; an empty table gives an empty index; an id that isn't
+a number fails the cast to bigint.
 """
 
 from __future__ import annotations
