@@ -35,9 +35,9 @@ class Language(NamedTuple):
 
 
 _CALLS = {
-    "PERSIST": "save insert create write persist add put store upsert", "FETCH": "find get read query fetch load select filter", "EMIT": "emit publish dispatch send broadcast trigger",
-    "SUBSCRIBE": "on subscribe listen", "TRANSFORM": "map transform convert serialize deserialize encode decode format parse", "MUTATE": "update append push pop delete remove clear set patch splice",
-    "VALIDATE": "validate check ensure verify assert",
+    "PERSIST": "add create insert persist put save store upsert write", "FETCH": "fetch filter find get load query read select", "EMIT": "broadcast dispatch emit publish send trigger",
+    "SUBSCRIBE": "on subscribe listen", "TRANSFORM": "convert decode deserialize encode format map parse serialize transform", "MUTATE": "append clear delete patch pop push remove set splice update",
+    "VALIDATE": "assert check ensure validate verify",
 }
 
 
@@ -45,7 +45,7 @@ def _calls(**more: str) -> dict[str, str]:
     return _words(**{t: f"{_CALLS.get(t, '')} {more.get(t, '')}" for t in {**_CALLS, **more}})
 
 
-_METERS = "metrics statsd counter gauge histogram timer telemetry prometheus"
+_METERS = "counter gauge histogram metrics prometheus statsd telemetry timer"
 _BRACED = dict(OUTPUT="return", RAISE="throw", CONDITIONAL="if switch", LOOP="for while do", RECOVER="catch", DEFER="finally")
 
 
@@ -81,11 +81,11 @@ _SCRIPT = Language(
     ),
     _words(**_BRACED, EMIT="yield", ASYNC="await"),
     _names(
-        "ngOnInit ngAfterViewInit ngOnChanges ngAfterContentInit componentDidMount componentDidUpdate componentWillMount beforeEach beforeAll setup setUp initialize init startup onStartup onInit",
-        "ngOnDestroy ngAfterViewDestroyed componentWillUnmount afterEach afterAll teardown tearDown destroy dispose cleanup shutdown onShutdown onDestroy",
+        "beforeAll beforeEach componentDidMount componentDidUpdate componentWillMount init initialize ngAfterContentInit ngAfterViewInit ngOnChanges ngOnInit onInit onStartup setup setUp startup",
+        "afterAll afterEach cleanup componentWillUnmount destroy dispose ngAfterViewDestroyed ngOnDestroy onDestroy onShutdown shutdown teardown tearDown",
     ),
     _calls(EMIT="next", SUBSCRIBE="addListener addEventListener pipe", FETCH="findOne findAll findBy", VALIDATE="assertValid"),
-    _words(LOG="console logger log Logger winston pino bunyan", MEASURE=_METERS),
+    _words(LOG="bunyan console log logger Logger pino winston", MEASURE=_METERS),
     _marks(
         (r"@(?:EventPattern|MessagePattern|On|Subscribe)\b", "SUBSCRIBE", 0.9), (r"@(?:Controller|Delete|Get|Patch|Post|Put)\b", "ROUTE", 0.9), (r"@(?:Auth|UseGuards)\b", "AUTHENTICATE", 0.9),
         (r"@(?:Permissions|Roles)\b", "AUTHORIZE", 0.9), (r"@Injectable\b", "CONTRACT", 0.9), (r"@(?:[Vv]alidate|ValidateNested|IsValid)\b", "VALIDATE", 0.9), (r"@UseInterceptors\b", "DELEGATE", 0.9),
@@ -102,18 +102,18 @@ LANGUAGES: dict[str, Language] = {
         _heads(("b", r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]")),
         _words(OUTPUT="return", ASYNC="go", DEFER="defer", CONDITIONAL="if switch select", LOOP="for"), _names("init setup bootstrap", "cleanup close shutdown teardown"),
         _calls(
-            PERSIST="exec execcontext writeto writefile writeall", FETCH="findone findall findby querycontext queryrow queryrowcontext scan readfile readall lookup search", EMIT="next notify fire",
-            SUBSCRIBE="receive watch observe", TRANSFORM="marshal unmarshal marshaljson unmarshaljson", VALIDATE="ispresent isvalid", RAISE="panic fatal fatalln fatalf", RECOVER="recover", ASYNC="spawn",
-            TEARDOWN="close stop shutdown cancel release unlock rwunlock done wait", AUTHENTICATE="authenticate login signin verifytoken verifycredentials checkpassword verifypassword",
-            AUTHORIZE="authorize requireauth requirepermission requirerole checkpermission haspermission canaccess",
+            PERSIST="exec execcontext writeall writefile writeto", FETCH="findall findby findone lookup querycontext queryrow queryrowcontext readall readfile scan search", EMIT="next notify fire",
+            SUBSCRIBE="receive watch observe", TRANSFORM="marshal marshaljson unmarshal unmarshaljson", VALIDATE="ispresent isvalid", RAISE="fatal fatalf fatalln panic", RECOVER="recover", ASYNC="spawn",
+            TEARDOWN="cancel close done release rwunlock shutdown stop unlock wait", AUTHENTICATE="authenticate checkpassword login signin verifycredentials verifypassword verifytoken",
+            AUTHORIZE="authorize canaccess checkpermission haspermission requireauth requirepermission requirerole",
         ),
-        _words(LOG="log logger slog klog zap logrus zerolog glog", MEASURE=f"{_METERS} meter tracer span otel observability"),
-        pairs=[(m, o, "ROUTE", 0.85) for m in "handlefunc handle get post put delete patch head options any use group subrouter pathprefix".split() for o in "http mux router r app engine g api rg v1 v2 echo fiber gin chi".split()],
+        _words(LOG="glog klog log logger logrus slog zap zerolog", MEASURE=f"{_METERS} meter tracer span otel observability"),
+        pairs=[(m, o, "ROUTE", 0.85) for m in "any delete get group handle handlefunc head options patch pathprefix post put subrouter use".split() for o in "api app chi echo engine fiber g gin http mux r rg router v1 v2".split()],
         symbols=[(re.compile(r"[\w\])]\s*<-"), "EMIT"), (re.compile(r"(?<![\w\])\s])\s*<-\s*\w"), "SUBSCRIBE")], fold=True,
     ),
     "java": Language(
         _heads(("b", _TYPED)), _words(**_BRACED, SCOPE="synchronized"),
-        _names("init initialize setup beforeeach beforeall onstartup oninit startup", "cleanup teardown dispose destroy shutdown onshutdown aftereach afterall"),
+        _names("beforeall beforeeach init initialize oninit onstartup setup startup", "afterall aftereach cleanup destroy dispose onshutdown shutdown teardown"),
         _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener pipe", VALIDATE="assertvalid", RAISE="panic fail error", RECOVER="recover retry", ASYNC="runasync supplyasync thenapplyasync thencomposeasync"),
         _words(LOG="console logger log", MEASURE=_METERS),
         _marks(
@@ -126,23 +126,23 @@ LANGUAGES: dict[str, Language] = {
     ),
     "rust": Language(
         _heads(("b", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"?\w*\"?\s+)*fn\s+(\w+)\s*[<(]")),
-        _words(OUTPUT="return", CONDITIONAL="if match", LOOP="for while loop", ASYNC="await"), _names("init initialize setup default", "drop cleanup teardown shutdown"),
+        _words(OUTPUT="return", CONDITIONAL="if match", LOOP="for while loop", ASYNC="await"), _names("default init initialize setup", "cleanup drop shutdown teardown"),
         _calls(FETCH="find_one find_all find_by", EMIT="next", SUBSCRIBE="poll_next", TRANSFORM="into from", RAISE="panic bail", RECOVER="recover or_else unwrap_or_else", ASYNC="spawn spawn_blocking"),
         _words(LOG="log logger tracing", MEASURE=_METERS),
         _marks((r"#\[(?:\w+::)?test\]", "TEST", 0.9), (r"#\[(?:async_std|tokio)::main\]", "INIT", 0.9), (r"#\[(?:delete|get|patch|post|put|route)", "ROUTE", 0.9)),
-        [(re.compile(f"^{b}$"), t, 0.85) for t, bs in {"TRANSFORM": "From Into TryFrom TryInto", "CONTRACT": "Display Debug Serialize Deserialize", "EMIT": "Iterator Stream AsyncIterator", "TEARDOWN": "Drop", "INIT": "Default", "RAISE": "Error"}.items() for b in bs.split()],
+        [(re.compile(f"^{b}$"), t, 0.85) for t, bs in {"TRANSFORM": "From Into TryFrom TryInto", "CONTRACT": "Debug Deserialize Display Serialize", "EMIT": "Iterator Stream AsyncIterator", "TEARDOWN": "Drop", "INIT": "Default", "RAISE": "Error"}.items() for b in bs.split()],
         [("insert", "", "MUTATE", 0.75)], [(re.compile(r"\)\s*\?"), "RECOVER")], fold=True,
     ),
     "ruby": Language(
         _heads(("e", r"\s*def\s+(?:self\.)?(\w+)[!?=]?")),
         _words(OUTPUT="return", EMIT="yield", LOOP="for while until", CONDITIONAL="if unless case", RECOVER="rescue", DEFER="ensure", RAISE="raise fail"),
-        _names("initialize setup before_each before_all", "cleanup teardown tear_down after_each after_all shutdown"),
-        _calls(FETCH="find_by find_or_create_by", VALIDATE="valid", RAISE="raise fail", RECOVER="recover retry", ASYNC="perform_async deliver_later delay async enqueue_later", MUTATE="merge"),
+        _names("before_all before_each initialize setup", "after_all after_each cleanup shutdown tear_down teardown"),
+        _calls(FETCH="find_by find_or_create_by", VALIDATE="valid", RAISE="raise fail", RECOVER="recover retry", ASYNC="async delay deliver_later enqueue_later perform_async", MUTATE="merge"),
         _words(LOG="logger log rails.logger", MEASURE=_METERS), bases=_bases("", "", "", "", "|Authenticator"), fold=True, bare=True,
     ),
     "csharp": Language(
-        _heads(("b", _TYPED)), _words(**{**_BRACED, "LOOP": "for foreach while do"}, EMIT="yield", ASYNC="await"),
-        _names("Main Setup SetUp Initialize Init OnStart OnStartAsync StartAsync", "Dispose Finalize Cleanup Shutdown Close TearDown TearDownAsync StopAsync"),
+        _heads(("b", _TYPED)), _words(**{**_BRACED, "LOOP": "do for foreach while"}, EMIT="yield", ASYNC="await"),
+        _names("Init Initialize Main OnStart OnStartAsync Setup SetUp StartAsync", "Cleanup Close Dispose Finalize Shutdown StopAsync TearDown TearDownAsync"),
         _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener", VALIDATE="assertvalid", RAISE="panic fail error", RECOVER="recover retry", ASYNC="runasync supplyasync thenapplyasync thencomposeasync"),
         _words(LOG="console logger log", MEASURE=_METERS),
         _marks(
@@ -152,14 +152,14 @@ LANGUAGES: dict[str, Language] = {
         _bases("", "", "", "|ControllerBase", "|CanActivate(?:Child)?|CanDeactivate"), fold=True, test=("Test", 0.95),
     ),
     "php": Language(
-        _heads(("b", r"\s*(?:(?:abstract|final|private|protected|public|static)\s+)*function\s+&?(\w+)\s*\(")), _words(**{**_BRACED, "LOOP": "for foreach while do", "CONDITIONAL": "if switch match"}, EMIT="yield"),
-        _names("__construct setUp setUpBeforeClass setUpAfterClass", "__destruct tearDown tearDownAfterClass"),
+        _heads(("b", r"\s*(?:(?:abstract|final|private|protected|public|static)\s+)*function\s+&?(\w+)\s*\(")), _words(**{**_BRACED, "LOOP": "do for foreach while", "CONDITIONAL": "if switch match"}, EMIT="yield"),
+        _names("__construct setUp setUpAfterClass setUpBeforeClass", "__destruct tearDown tearDownAfterClass"),
         _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener", VALIDATE="assertvalid", RAISE="panic fail error", RECOVER="recover retry"), _words(LOG="logger log console", MEASURE=_METERS),
         _marks((r"#\[(?:Delete|Get|Post|Put|Route)\(", "ROUTE", 0.9), (r"#\[(?:Auth|Middleware)\b", "AUTHENTICATE", 0.9), (r"#\[Test\b", "TEST", 0.9)), _bases("", "", "", "", "|Authenticator"), fold=True,
     ),
     "kotlin": Language(
         _heads(("b", r"\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:[a-z]+\s+)*fun\s+(?:<[^>]+>\s*)?(?:[\w.<>?]+\.)?(\w+)\s*\(")), _words(**{**_BRACED, "CONDITIONAL": "if when"}),
-        _names("setUp setUpClass beforeEach beforeAll main", "tearDown tearDownClass afterEach afterAll"), _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener", VALIDATE="assertvalid"),
+        _names("beforeAll beforeEach main setUp setUpClass", "afterAll afterEach tearDown tearDownClass"), _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener", VALIDATE="assertvalid"),
         _words(LOG="logger log console", MEASURE=_METERS),
         _marks(
             (r"@(?:Parameterized|Repeated)?Test\b", "TEST", 0.9), (_JVM_ROUTES, "ROUTE", 0.9), (r"@(?:PreAuthorize|RolesAllowed|Secured)\b", "AUTHORIZE", 0.9), (r"@Transactional\b", "SCOPE", 0.9),
@@ -169,27 +169,27 @@ LANGUAGES: dict[str, Language] = {
     ),
     "scala": Language(
         _heads(("b", r"\s*(?:[a-z]+\s+)*def\s+(\w+)(?=.*\{\s*$)"), ("i", r"\s*(?:[a-z]+\s+)*def\s+(\w+)")), _words(**{**_BRACED, "CONDITIONAL": "if match"}),
-        {**_names("apply main setUp beforeEach beforeAll", "tearDown afterEach afterAll close stop destroy shutdown"), "receive": ("SUBSCRIBE", 0.95)},
+        {**_names("apply beforeAll beforeEach main setUp", "afterAll afterEach close destroy shutdown stop tearDown"), "receive": ("SUBSCRIBE", 0.95)},
         _calls(FETCH="findone findall findby", EMIT="next", SUBSCRIBE="addlistener", VALIDATE="assertvalid"), _words(LOG="logger log console", MEASURE=_METERS),
         bases=_bases("", "", "", "|ControllerBase", "|CanActivate(?:Child)?|CanDeactivate"), pairs=[("future", "", "ASYNC", 0.85), ("async", "", "ASYNC", 0.85)], fold=True,
     ),
     "c": Language(
         _heads(("b", rf"{_NOT}(?:[\w*]+\s+)+\*?(\w+)\s*\([^;]*\)\s*\{{?\s*$")), _words(OUTPUT="return", CONDITIONAL="if switch", LOOP="for while do"), {"main": ("INIT", 0.95)},
-        _words(FETCH="malloc calloc realloc", TEARDOWN="free", LOG="printf fprintf sprintf", PERSIST="fopen fread fwrite fclose", TRANSFORM="memcpy memmove memset strcpy strncpy"), {}, test=("test", 0.9),
+        _words(FETCH="malloc calloc realloc", TEARDOWN="free", LOG="printf fprintf sprintf", PERSIST="fclose fopen fread fwrite", TRANSFORM="memcpy memmove memset strcpy strncpy"), {}, test=("test", 0.9),
     ),
     "lua": Language(
         _heads(("e", r"\s*(?:local\s+)?function\s+(?:\w+[.:])*(\w+)\s*\("), ("e", r"\s*(?:local\s+)?(?:\w+\.)*(\w+)\s*=\s*function\s*\(")), _words(OUTPUT="return", CONDITIONAL="if", LOOP="for while repeat"),
-        {**_names("new create init setup start open", "destroy close cleanup shutdown teardown stop", 0.9), **{n: ("MUTATE", 0.85) for n in ("update", "on_update", "tick")}},
+        {**_names("create init new open setup start", "cleanup close destroy shutdown stop teardown", 0.9), **{n: ("MUTATE", 0.85) for n in ("update", "on_update", "tick")}},
         _words(RAISE="error assert", FETCH="require", RECOVER="pcall xpcall", LOG="print"), {}, pairs=[("wrap", "coroutine", "ASYNC", 0.75), ("create", "coroutine", "ASYNC", 0.75), ("write", "io", "LOG", 0.75)], test=("test", 0.9),
     ),
     "elixir": Language(
         _heads(("e", r"\s*defp?\s+(\w+)[!?]?(?=.*\bdo\s*$)")),
-        _words(CONDITIONAL="if unless cond case with", LOOP="for", SUBSCRIBE="receive", RAISE="raise throw", RECOVER="rescue catch", DEFER="after"),
-        {**_names("init start_link start child_spec setup setup_all on_mount", "terminate stop"), **{n: ("SUBSCRIBE", 0.95) for n in "handle_call handle_cast handle_info handle_continue handle_event handle_action".split()}},
-        _words(FETCH="all get find fetch one query", PERSIST="insert create save write put", MUTATE="update patch delete remove", TRANSFORM="map reduce filter transform encode decode parse", EMIT="emit broadcast publish dispatch push", SUBSCRIBE="subscribe", VALIDATE="validate validate_changeset changeset", ASYNC="spawn spawn_link spawn_monitor"),
+        _words(CONDITIONAL="case cond if unless with", LOOP="for", SUBSCRIBE="receive", RAISE="raise throw", RECOVER="rescue catch", DEFER="after"),
+        {**_names("child_spec init on_mount setup setup_all start start_link", "terminate stop"), **{n: ("SUBSCRIBE", 0.95) for n in "handle_action handle_call handle_cast handle_continue handle_event handle_info".split()}},
+        _words(FETCH="all fetch find get one query", PERSIST="create insert put save write", MUTATE="delete patch remove update", TRANSFORM="decode encode filter map parse reduce transform", EMIT="broadcast dispatch emit publish push", SUBSCRIBE="subscribe", VALIDATE="validate validate_changeset changeset", ASYNC="spawn spawn_link spawn_monitor"),
         {}, pairs=[("async", "Task", "ASYNC", 0.75), ("start", "Task", "ASYNC", 0.75), *((m, "GenServer", "DELEGATE", 0.75) for m in ("call", "cast")), *((m, "Logger", "LOG", 0.75) for m in ("info", "error", "debug")), *((m, "IO", "LOG", 0.75) for m in ("puts", "inspect"))],
         bases=[(re.compile(f"^{re.escape(b)}$"), t, 0.9) for b, t in (("GenServer", "SUBSCRIBE"), ("Phoenix.Controller", "ROUTE"), ("Phoenix.LiveView", "SUBSCRIBE"), ("Ecto.Schema", "CONTRACT"), ("ExUnit.Case", "TEST"), ("Agent", "SUBSCRIBE"), ("Task", "ASYNC"))],
     ),
 }
 #: Parts of a C name that tell a token.
-C_PARTS = [("INIT", 0.9, "init initialize setup"), ("TEARDOWN", 0.9, "free destroy cleanup teardown close shutdown")]
+C_PARTS = [("INIT", 0.9, "init initialize setup"), ("TEARDOWN", 0.9, "cleanup close destroy free shutdown teardown")]

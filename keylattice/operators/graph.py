@@ -51,7 +51,7 @@ def resolve_seeds(units: DataFrame, query: str) -> DataFrame:
     return k.join(F.broadcast(best), F.col("kind") == F.col("best")).select("unit_id", "kind")
 
 
-def louvain(edges: DataFrame, save: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, save: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
     """(node, community): one deterministic level of local moves that raise modularity, component by component.
 
     A seeded library run can't be reproduced elsewhere; this visits nodes in
@@ -59,7 +59,7 @@ def louvain(edges: DataFrame, save: Callable[[DataFrame], DataFrame] | None = No
     from keylattice.operators.cluster import components
 
     e = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")).where("a <> b")
-    comp = components(e, save or (lambda x: x.checkpoint()))
+    comp = components(e, save)
     total = e.agg(F.sum("weight").alias("m"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

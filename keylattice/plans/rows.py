@@ -165,9 +165,18 @@ def behavioral_twins(spark: SparkSession, sf: str) -> DataFrame:
     return graph.behavioral_twins(event_units(table(spark, sf, "events")), F.array(*map(F.lit, ("FETCH", "OUTPUT", "ROUTE"))), 25)
 
 
-@query(f"WITH {_U} SELECT unit_id, 2::INT AS kind FROM u WHERE ends_with(lower(unit_id), '::77')")
+_SEEDS = ("g3/u3::click::none", "g1/u1", "77", "view::1", "nothing")
+
+
+@query(f"""WITH {_U}, q AS (SELECT unnest({list(_SEEDS)}) AS query), k AS (SELECT query, unit_id, CASE WHEN unit_id = query THEN 0 WHEN file = query THEN 1 WHEN ends_with(lower(unit_id), '::' || query) THEN 2 WHEN contains(lower(unit_id), query) THEN 3 END::INT AS kind FROM u, q)
+ SELECT query, unit_id, kind FROM k WHERE kind IS NOT NULL QUALIFY kind = min(kind) OVER (PARTITION BY query)""")
 def resolve_seed_units(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.resolve_seeds(event_units(table(spark, sf, "events")), "77")
+    """Seeds by file, by symbol and by substring, and two that name nothing."""
+    u, out = event_units(table(spark, sf, "events")), None
+    for q in _SEEDS:
+        one = graph.resolve_seeds(u, q).select(F.lit(q).alias("query"), "unit_id", "kind")
+        out = one if out is None else out.union(one)
+    return out
 
 
 # --- diff and incremental -------------------------------------------------------------------------------------------
@@ -371,9 +380,14 @@ def trailing_requests(spark: SparkSession, sf: str) -> DataFrame:
     return web.trailing_count(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("at")))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS id, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS sec FROM events)),
+ r AS (SELECT key, id, rn, true AS accepted, [sec] AS kept FROM o WHERE rn = 1
+   UNION ALL SELECT key, id, rn, len(f) < 3, CASE WHEN len(f) < 3 THEN list_append(f, sec) ELSE f END FROM (SELECT o.key, o.id, o.rn, o.sec, list_filter(r.kept, lambda x: o.sec - x < 86400) AS f FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1))
+ SELECT key, id, accepted FROM r""")
 def sliding_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return web.rate_limit(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("at")))
+    """Three accepted events a user in any day."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("at"))
+    return web.rate_limit(e, window_s=86400)
 
 
 @query("SELECT conv_id, lower(string_agg(text, chr(10) ORDER BY turn, text)) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
