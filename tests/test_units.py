@@ -139,3 +139,35 @@ def test_pool(spark):
     g = pool.odd_groups(st, 160.0).collect()
     assert {x["token"]: x["oldest_age_s"] for x in g} == {"FETCH": 60.0, "EMIT": 60.0}
     assert {x["token"]: x["predicted_lock"] for x in pool.forecast(st).collect()} == {"FETCH": "PERSIST", "EMIT": "SUBSCRIBE"}
+
+
+def spread(n):
+    """Units of many files and classes (some without), with tokens of all scopes in changing orders."""
+    tokens = ["FETCH", "PERSIST", "AUTHENTICATE", "ROUTE", "VALIDATE", "INTAKE", "OUTPUT", "EMIT", "SUBSCRIBE", "GUARD"]
+    rows = []
+    for i in range(n):
+        k = (i * 7919) % 1009
+        own = [tokens[(k + j * (1 + k % 3)) % len(tokens)] for j in range(2 + k % 3)]
+        rows.append((f"f{k % 3}::C{k % 2}::m{i}" if k % 4 else f"f{k % 3}::m{i}", i, own, 0.4 + k % 7 / 10))
+    return rows
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_shared_regions_give_the_same_edges(spark, scoped):
+    """A region that is dealt out to many tasks has the edges, file pairs and open tokens of one that is not."""
+    from keylattice.operators import graph
+
+    u = complete(spark.createDataFrame([(i, unit, t, c) for unit, i, t, c in spread(900)], "seq bigint, unit_id string, tokens array<string>, confidence double"))
+    band = spark.createDataFrame([(t, 1 + i % 3) for i, t in enumerate(("AUTHENTICATE", "FETCH", "INTAKE", "ROUTE", "PERSIST", "OUTPUT", "SUBSCRIBE", "X", "EMIT", "VALIDATE", "Y", "GUARD"))], "token string, band int") if scoped else None
+    whole = match.edges(u, band, share=10_000)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(match.edges(u, band, share=40)) == rows(whole) and whole.count() > 1000
+    assert rows(match.file_pairs(u, band, share=40)) == rows(graph.file_graph(whole)) and (scoped or graph.file_graph(whole).count() == 3)
+    assert rows(match.suspended(u, band, share=40)) == rows(match.suspended(u, band, share=10_000))
+
+
+def test_matching_joins_and_sorts_no_candidates(spark):
+    """One shuffle of units; what it made of them before was a join with a row a candidate, and a shuffle of those."""
+    u = complete(spark.createDataFrame([(i, unit, t, c) for unit, i, t, c in spread(50)], "seq bigint, unit_id string, tokens array<string>, confidence double"))
+    plan = match.edges(u)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "a_seq" not in plan
