@@ -171,3 +171,45 @@ def test_matching_joins_and_sorts_no_candidates(spark):
     u = complete(spark.createDataFrame([(i, unit, t, c) for unit, i, t, c in spread(50)], "seq bigint, unit_id string, tokens array<string>, confidence double"))
     plan = match.edges(u)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "a_seq" not in plan
+
+
+def test_pieces_of_whole_components(monkeypatch):
+    monkeypatch.setattr(cluster, "PIECE", 4)
+    rows = [c for c, n in (("a", 2), ("b", 11), ("c", 1), ("d", 3)) for _ in range(n)]
+    frames = [pd.DataFrame({"component": rows[i : i + 3]}) for i in range(0, len(rows), 3)]
+    got = [list(p["component"]) for p in cluster._whole_components(iter(frames))]
+    assert sum(got, []) == rows and len(got) > 1 and all(not set(x) & set(y) for x, y in zip(got, got[1:]))
+
+
+def test_components_over_many_pieces_equal_one_replay(spark):
+    """Unions of a component in several partitions, so that forests have to be put together."""
+    rng = random.Random(3)
+    rows = [(rng.choice((0, 2)), i, f"n{x}", f"n{x + rng.choice((1, 2))}", 0.9) for i, x in enumerate(rng.choices([x for x in range(120) if x % 40], k=150))]
+    pdf = pd.DataFrame(rows, columns=["phase", "ord", "a", "b", "confidence"])
+    roots, refused = cluster.replay(pdf, 4)
+    df = spark.createDataFrame(rows, "phase int, ord bigint, a string, b string, confidence double").repartition(5, "ord")
+    got, out = cluster.capped_components(df, 4, lambda d: save(d, "t"))
+    assert {r["unit_id"]: r["root"] for r in got.collect()} == roots
+    assert sorted(tuple(r) for r in out.collect()) == sorted(refused) and refused
+
+
+def test_clusters_of_carried_roots_equal_joined_ones(spark):
+    """Edges that bring their ends' roots along give the same clusters, seams and risks as joins with the members; no row is joined."""
+    from keylattice.operators import evaluate
+
+    u = complete(spark.createDataFrame([(i, unit, t, c, i * 300) for unit, i, t, c in spread(200)], "seq bigint, unit_id string, tokens array<string>, confidence double, line_start bigint"))
+    m = cluster.island_clusters(u, 3)
+    joined, carried = match.edges(u), match.edges(m, carry=("root", "file"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    for f in (cluster.cluster_graph, cluster.seam_bundles, cluster.seam_units, lambda e, x: cluster.cluster_build(x, e)):
+        assert rows(f(carried, m)) == rows(f(joined, m))
+    assert rows(evaluate.file_risk(m, cluster.file_seams(carried), carried, m)) == rows(evaluate.file_risk(m, cluster.seam_bundles(joined, m), joined, m))
+    assert "Join" not in cluster.cluster_graph(carried, m)._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+
+
+def test_scan_is_dealt_out(spark):
+    """Texts in one small input partition are parsed by as many tasks as there are."""
+    from keylattice.operators import scan
+
+    files = spark.createDataFrame([(f"m{i}.py", "def f(a):\n    return a\n", "python") for i in range(64)], "file string, text string, language string").coalesce(1)
+    assert scan.scan(files).rdd.getNumPartitions() == 2
