@@ -213,3 +213,24 @@ def test_scan_is_dealt_out(spark):
 
     files = spark.createDataFrame([(f"m{i}.py", "def f(a):\n    return a\n", "python") for i in range(64)], "file string, text string, language string").coalesce(1)
     assert scan.scan(files).rdd.getNumPartitions() == 2
+
+
+def test_units_are_dealt_out_before_they_are_made(spark):
+    """The table of one row group gives units to all tasks, in every adapter that matching reads."""
+    from keylattice.plans import composites, units as plans
+
+    sf = "/root/testdata/sf0.001"
+    for f in (plans.units, plans.day_units, plans.scanned, composites.capped_files):
+        assert f(spark, sf).rdd.getNumPartitions() == 2
+
+
+def test_tokens_are_placed_without_a_row_a_token(spark):
+    """Codes by scope: plain, unknown, null and repeated tokens fall away, and so do scopes of no known region."""
+    from keylattice.operators import meet
+
+    rows = [(1, "f.py::A::a", "f.py", ["LOG", "FETCH", None, "ROUTE", "FETCH", "X", "EMIT"]), (2, None, None, ["EMIT", "FETCH"]), (3, "g.py::b", "g.py", None), (4, "g.py::c", "g.py", [])]
+    u = spark.createDataFrame(rows, "seq bigint, unit_id string, file string, tokens array<string>").selectExpr("*", "'A' as cls", "file as dir3", "1.0d as confidence")
+    got = lambda scopes: sorted((r["seq"], r["band"], r["region"], tuple(vocab.TOKENS[c] for c in r["codes"])) for r in match._scoped(u, scopes, []).collect())
+    assert got({"FETCH": 1, "ROUTE": 3, "EMIT": 3}) == [(1, 1, "", ("FETCH",)), (1, 3, "f.py", ("ROUTE", "EMIT")), (2, 1, "", ("FETCH",))]
+    assert got(None) == [(1, 0, "", ("FETCH", "ROUTE", "EMIT")), (2, 0, "", ("EMIT", "FETCH"))]
+    assert [tuple(r) for r in match._large(u, {"FETCH": 1, "ROUTE": 3}, 1).collect()] == [(1, "", 2)]
