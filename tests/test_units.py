@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keylattice.functions import vocab
 from keylattice.operators import census, cluster, match, pool
@@ -234,3 +235,22 @@ def test_tokens_are_placed_without_a_row_a_token(spark):
     assert got({"FETCH": 1, "ROUTE": 3, "EMIT": 3}) == [(1, 1, "", ("FETCH",)), (1, 3, "f.py", ("ROUTE", "EMIT")), (2, 1, "", ("FETCH",))]
     assert got(None) == [(1, 0, "", ("FETCH", "ROUTE", "EMIT")), (2, 0, "", ("EMIT", "FETCH"))]
     assert [tuple(r) for r in match._large(u, {"FETCH": 1, "ROUTE": 3}, 1).collect()] == [(1, "", 2)]
+
+
+def small_units(spark, n=900):
+    u = complete(spark.createDataFrame([(i, unit, t, c, i * 300) for unit, i, t, c in spread(n)], "seq bigint, unit_id string, tokens array<string>, confidence double, line_start bigint"))
+    return u, {t: 1 + i % 3 for i, t in enumerate(("AUTHENTICATE", "FETCH", "INTAKE", "ROUTE", "PERSIST", "OUTPUT", "SUBSCRIBE", "X", "EMIT", "VALIDATE", "Y", "GUARD")) if t in vocab.TOKENS}
+
+
+@pytest.mark.parametrize("share", [40, 10_000])
+def test_counts_of_edges_equal_counted_edges(spark, share):
+    """Types by scope and pair without a row an edge, also where a region is dealt out."""
+    u, band = small_units(spark)
+    rows = lambda d: sorted(map(str, d.collect()))
+    for b in (band, None):
+        e, n = match.edges(u, b, share=share), match.edge_counts(u, b, share)
+        want = e.groupBy("mask", "key_token", "lock_token").agg(*(F.count_if(F.col("edge_type") == t.upper()).alias(t) for t in ("hard", "predicted", "ghost")))
+        assert rows(n) == rows(want)
+        assert rows(match.counts_summary(n)) == rows(match.edges_summary(e))
+    none = match.edge_counts(u.where("false"), band)
+    assert match.counts_summary(none).first().asDict() == {"total": 0, "hard": 0, "predicted": 0, "ghost": 0, "pair_kinds": 0}
