@@ -254,3 +254,28 @@ def test_counts_of_edges_equal_counted_edges(spark, share):
         assert rows(match.counts_summary(n)) == rows(match.edges_summary(e))
     none = match.edge_counts(u.where("false"), band)
     assert match.counts_summary(none).first().asDict() == {"total": 0, "hard": 0, "predicted": 0, "ghost": 0, "pair_kinds": 0}
+
+
+@pytest.mark.parametrize("share", [40, 10_000])
+def test_degrees_and_seam_units_need_no_edges(spark, share):
+    """Ends by type of units and of clusters, graph totals and units at seams equal those of edges as rows."""
+    from keylattice import sinks
+
+    u, band = small_units(spark)
+    m = cluster.island_clusters(u, 3)
+    e = match.edges(m, band, carry=("root",), share=share)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(match.degrees(u, band, share=share).select("unit_id", "degree")) == rows(cluster.unit_degree(e))
+    c = cluster.cluster_build(m, match.degrees(m, band, "root", share))
+    assert rows(c.drop("hard", "predicted", "ghost")) == rows(cluster.cluster_build(m, e))
+    assert rows(sinks.clusters_stats(c)) == rows(sinks.graph_stats(m, e, c))
+    assert rows(match.apart(m, band, "root", share)) == rows(cluster.seam_units(e, m))
+    gone = cluster.cluster_build(m.where("false"), match.degrees(m.where("false"), band, "root"))
+    assert set(sinks.clusters_stats(gone).first().asDict().values()) == {0}
+
+
+def test_ends_of_unknown_clusters_are_counted(spark):
+    """Null is a value of its own, and no unit at a seam."""
+    u = units(spark, [("a.py::f", "FETCH"), ("a.py::g", "PERSIST"), ("a.py::h", "PERSIST")]).withColumn("root", F.expr("if(seq < 2, 'r' || seq, null)"))
+    assert {(r["root"], r["degree"]) for r in match.degrees(u, None, "root").collect()} == {("r0", 2), ("r1", 1), (None, 1)}
+    assert {r["unit_id"] for r in match.apart(u, None, "root").collect()} == {"a.py::f", "a.py::g"}
