@@ -279,3 +279,30 @@ def test_ends_of_unknown_clusters_are_counted(spark):
     u = units(spark, [("a.py::f", "FETCH"), ("a.py::g", "PERSIST"), ("a.py::h", "PERSIST")]).withColumn("root", F.expr("if(seq < 2, 'r' || seq, null)"))
     assert {(r["root"], r["degree"]) for r in match.degrees(u, None, "root").collect()} == {("r0", 2), ("r1", 1), (None, 1)}
     assert {r["unit_id"] for r in match.apart(u, None, "root").collect()} == {"a.py::f", "a.py::g"}
+
+
+@pytest.mark.parametrize("share", [40, 10_000])
+def test_weak_edges_make_no_rows(spark, share):
+    u, band = small_units(spark)
+    rows = lambda d: sorted(map(str, d.collect()))
+    hard = rows(match.edges(u, band, share=share, least=match.HARD))
+    assert hard == rows(match.edges(u, band, share=share).where("edge_type = 'HARD'")) and hard
+
+
+def test_passes_over_scopes_are_put_together(spark):
+    """As when the edges of every pass are compared; a scope that no pass names is left out."""
+    u, band = small_units(spark)
+    e = match.edges(u, band)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(match.union_scopes(u, band, (1,), (2,), (3,), (1, 2, 3))) == rows(match.union_edges(*(e.where(F.col("mask") == m) for m in (1, 2, 3)), e))
+    assert rows(match.union_scopes(u, band, (3,), (1, 3))) == rows(e.where("mask <> 2"))
+    assert "Window" not in match.union_scopes(u, band, (1, 2, 3), (3,))._jdf.queryExecution().optimizedPlan().toString().split("shares")[0]
+
+
+def test_suspension_outside_scopes_and_regions(spark):
+    """Tokens of no scope, and units of no known file, have no partner; carried columns come along without a join."""
+    rows = [(1, "f::a", "f", ["FETCH", "ROUTE"]), (2, "f::b", "f", ["PERSIST", "EMIT"]), (3, "x", None, ["FETCH"]), (4, "y", None, ["PERSIST"]), (5, "f::c", "f", ["FETCH", "FETCH"])]
+    u = spark.createDataFrame(rows, "seq bigint, unit_id string, file string, tokens array<string>").selectExpr("*", "'A' as cls", "file as dir3", "1.0d as confidence", "seq * 10 as line_start")
+    for share in (1, 100):
+        s = match.suspended(u, {"FETCH": 3, "PERSIST": 3, "ROUTE": 1}, share, ("line_start",))
+        assert sorted((r["source_id"], r["token"], r["line_start"]) for r in s.collect()) == [("f::a", "ROUTE", 10), ("f::b", "EMIT", 20), ("x", "FETCH", 30), ("y", "PERSIST", 40)]
