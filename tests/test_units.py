@@ -306,3 +306,20 @@ def test_suspension_outside_scopes_and_regions(spark):
     for share in (1, 100):
         s = match.suspended(u, {"FETCH": 3, "PERSIST": 3, "ROUTE": 1}, share, ("line_start",))
         assert sorted((r["source_id"], r["token"], r["line_start"]) for r in s.collect()) == [("f::a", "ROUTE", 10), ("f::b", "EMIT", 20), ("x", "FETCH", 30), ("y", "PERSIST", 40)]
+
+
+def test_a_node_is_told_once_for_each_piece():
+    """However many unions a node has in a piece, it is compared with other pieces once."""
+    import pyarrow as pa
+
+    t = pa.table({"a": ["x", "x", "x", "p"], "b": ["y", "z", "y", "q"]})
+    rows = pa.Table.from_batches(cluster._grow(t)).to_pylist()
+    told = [(r[e], r["local"]) for r in rows for e in ("a", "b") if r[f"new_{e}"]]
+    assert len(told) == 5 and {n for n, _ in told} == set("xyzpq") and {dict(told)[n] for n in "xyz"} == {"x"}
+
+
+def test_file_of_ids(spark):
+    from keylattice.functions import ids
+
+    d = spark.createDataFrame([("a.py::C::f",), ("a.py",), ("::f",), ("",), (None,)], "u string")
+    assert [r[0] for r in d.select(ids.file_of("u")).collect()] == ["a.py", "a.py", "", "", None]
